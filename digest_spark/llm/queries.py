@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
 from digest_spark.llm.bpe import op7_bpe_round_trip
+from digest_spark.llm.simhash import op2_simhash
 from digest_spark.llm.token_counts import op6_token_counts
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_round_trip": op7_bpe_round_trip,
 }
