@@ -1,13 +1,22 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
 from digest_spark.llm.bpe import op7_bpe_round_trip
+from digest_spark.llm.decontamination import OP5_SQL, op5_decontamination
+from digest_spark.llm.sharding import op1_sharding
 from digest_spark.llm.simhash import op2_simhash
 from digest_spark.llm.token_counts import op6_token_counts
+from digest_spark.llm.topk import OP9_SQL, op9_topk
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op9_topk": op9_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_decontamination": OP5_SQL,
+    "op9_topk": OP9_SQL,
+}
