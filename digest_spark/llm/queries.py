@@ -2,18 +2,22 @@
 
 from digest_spark.llm.bpe import op7_bpe_round_trip
 from digest_spark.llm.decontamination import OP5_SQL, op5_decontamination
+from digest_spark.llm.language import op3_language
 from digest_spark.llm.sharding import op1_sharding
 from digest_spark.llm.simhash import op2_simhash
 from digest_spark.llm.token_counts import op6_token_counts
 from digest_spark.llm.topk import OP9_SQL, op9_topk
+from digest_spark.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
+    "op3_language": op3_language,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_topk": op9_topk,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
