@@ -3,6 +3,7 @@
 from digest_spark.llm.bpe import op7_bpe_round_trip
 from digest_spark.llm.decontamination import OP5_SQL, op5_decontamination
 from digest_spark.llm.language import op3_language
+from digest_spark.llm.line_dedup import op8_line_dedup
 from digest_spark.llm.sharding import op1_sharding
 from digest_spark.llm.simhash import op2_simhash
 from digest_spark.llm.token_counts import op6_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_line_dedup": op8_line_dedup,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
 }
