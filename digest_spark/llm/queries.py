@@ -6,6 +6,7 @@ from digest_spark.llm.language import op3_language
 from digest_spark.llm.line_dedup import op8_line_dedup
 from digest_spark.llm.sharding import op1_sharding
 from digest_spark.llm.simhash import op2_simhash
+from digest_spark.llm.substring_dedup import op4_substring_dedup
 from digest_spark.llm.token_counts import op6_token_counts
 from digest_spark.llm.topk import OP9_SQL, op9_topk
 from digest_spark.llm.toxicity import op10_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_round_trip": op7_bpe_round_trip,
