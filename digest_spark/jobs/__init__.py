@@ -1 +1 @@
-
+"""Whole flows, and the registered queries."""

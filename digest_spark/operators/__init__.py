@@ -1 +1 @@
-
+"""Relational operators, DataFrame to DataFrame."""

@@ -1 +1 @@
-
+"""Readers and writers of the jobs' inputs and outputs."""
