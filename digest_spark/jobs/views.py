@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digest_spark.functions.text import split_topic_key, topic_key
+from digest_spark.functions.text import topic_key
 
 AS_OF = "2024-01-02 06:00:00"
 DEFAULT_LANGUAGE = "English"
@@ -79,13 +79,9 @@ def triage_reply(key, batch):
 
 def group_reply(key):
     """Stands in for the same-event judge."""
-    case = F.pmod(F.crc32(key), F.lit(6))
+    case = (F.length(key) * 5 + F.ascii(F.substring(key, 4, 1)) + F.ascii(F.substring(key, F.length(key), F.lit(1)))) % 6
     texts = ('```json\n[[0, 2], [1]]\n```', 'So: [[0, "1", 2.5], [9999], [3, 4]] done', "[]", "broken [[0, ", "[[1, 0], [0, 3]]", "[0, 1]")
     out = F.lit(texts[5])
     for k in range(4, -1, -1):
         out = F.when(case == k, texts[k]).otherwise(out)
     return out
-
-
-def parts(key):
-    return split_topic_key(key)
