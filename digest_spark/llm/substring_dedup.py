@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from digest_spark.llm.arrowtext import by_bytes
 from digest_spark.llm.decontamination import WORD_TABLE
-from digest_spark.llm.shared import text_key, written
+from digest_spark.llm.shared import small_batches, text_key, written
 
 RUN_SENTENCES = 3
 RUN_WORDS = 20
@@ -71,67 +71,64 @@ def signed(x: int) -> int:
 
 
 def span_table(docs: DataFrame) -> DataFrame:
-    """(h, g, id, key, at): each row's distinct spans by hash, with the first sentence of the first of them."""
+    """(h, g, id, key, at, stop, again): every span by hash, its sentences, and whether its row has it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            hashes, at, rows = [], [], []
+            hashes, at, stop, again, rows = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                first: dict[int, int] = {}
-                for a, _, h in spans(sentences((text or "").encode())):
-                    first.setdefault(h, a)
-                hashes += first
-                at += first.values()
-                rows += [row] * len(first)
+                seen: set[int] = set()
+                for a, b, h in spans(sentences((text or "").encode())):
+                    hashes.append(h)
+                    at.append(a)
+                    stop.append(b)
+                    again.append(h in seen)
+                    rows.append(row)
+                    seen.add(h)
             take = pa.array(rows, pa.int32())
             high, low = [signed(h >> 64) for h in hashes], [signed(h & 0xFFFFFFFFFFFFFFFF) for h in hashes]
-            yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), batch.column("id").take(take), batch.column("key").take(take), pa.array(at, pa.int32())], names=["h", "g", "id", "key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), batch.column("id").take(take), batch.column("key").take(take), pa.array(at, pa.int32()), pa.array(stop, pa.int32()), pa.array(again, pa.bool_())], names=["h", "g", "id", "key", "at", "stop", "again"])
 
-    return docs.mapInArrow(run, "h long, g long, id long, key long, at int")
+    return small_batches(docs).mapInArrow(run, "h long, g long, id long, key long, at int, stop int, again boolean")
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows with their text less the sentences in repeated spans, and n_sentences and n_removed.
+    """The rows with their text less the sentences in repeated spans, and their number, n_removed.
 
     doc_id is an integer. Rows that repeat a doc_id are one document here: what they share is no
-    repeat. Rows without one come last and are one document as well. Null texts stay null and have
-    no sentences. Columns of docs named n_sentences or n_removed are replaced. An empty table gives
-    no rows.
+    repeat. Rows without one come last and are one document as well. Null texts stay null. A
+    column of docs named n_removed is replaced. An empty table gives no rows.
     """
     last = (1 << 63) - 1
     own = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(last)).alias("id"), text_key(docs[text]).alias("key"), docs[text].alias("text"))
-    found = span_table(own)
-    repeated = written(found.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "g", "first"))
-    repeated = F.broadcast(repeated) if 3 * repeated.count() <= BROADCAST_NUMBERS else repeated
-    gone = written(found.join(repeated, ["h", "g"]).where("id > first").groupBy("id", "key").agg(F.collect_set("at").alias("__at")).toDF("__id", "__key", "__at"))
-    size = gone.agg(F.sum(F.size("__at") + 2).alias("n")).first()["n"] or 0
+    found = written(span_table(own))
+    repeated = found.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "g", "first")
+    elsewhere = found.where("not again").join(repeated, ["h", "g"]).where("id > first")
+    places = elsewhere.select("id", "key", "at", "stop").union(found.where("again").select("id", "key", "at", "stop"))
+    gone = written(places.groupBy("id", "key").agg(F.collect_set(F.array("at", "stop")).alias("__at")).toDF("__id", "__key", "__at"))
+    size = gone.agg(F.sum(2 * F.size("__at") + 2).alias("n")).first()["n"] or 0
     gone = F.broadcast(gone) if size <= BROADCAST_NUMBERS else gone
-    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", text)]
+    kept = [c for c in docs.columns if c not in ("n_removed", text)]
     joined = docs.withColumn("__k", text_key(docs[text])).join(gone, (F.coalesce(docs[doc_id].cast("long"), F.lit(last)) == gone["__id"]) & (F.col("__k") == gone["__key"]), "left")
-    rows = joined.select(*kept, F.col(text).alias("__text"), F.coalesce("__at", F.array().cast("array<int>")).alias("__at"))
-    schema = T.StructType([*rows.select(*kept).schema, T.StructField("__text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    rows = joined.select(*kept, F.col(text).alias("__text"), F.coalesce("__at", F.array().cast("array<array<int>>")).alias("__at"))
+    schema = T.StructType([*rows.select(*kept).schema, T.StructField("__text", T.StringType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "__text", BATCH_BYTES):
-            texts, n, removed = [], [], []
-            for x, at in zip(batch.column("__text").to_pylist(), batch.column("__at").to_pylist(), strict=True):
-                raw = (x or "").encode()
-                parts = sentences(raw)
-                elsewhere, seen, drop = set(at), set(), set()
-                for a, b, h in spans(parts):
-                    if a in elsewhere or h in seen:
-                        drop.update(range(a, b))
-                    seen.add(h)
-                drop = {k for k in drop if parts[k][3]}
-                texts.append(x if x is None or not drop else b"".join(raw[a:b] for k, (a, b, _, _) in enumerate(parts) if k not in drop).decode())
-                n.append(len(parts))
-                removed.append(len(drop))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=schema.names)
+            texts, removed = batch.column("__text").to_pylist(), [0] * batch.num_rows
+            for i, at in enumerate(batch.column("__at").to_pylist()):
+                if at:
+                    raw = texts[i].encode()
+                    parts = sentences(raw)
+                    drop = {k for a, b in at for k in range(a, b) if parts[k][3]}
+                    texts[i] = b"".join(raw[a:b] for k, (a, b, _, _) in enumerate(parts) if k not in drop).decode()
+                    removed[i] = len(drop)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=schema.names)
 
-    out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_sentences", "n_removed")], "n_sentences", "n_removed")
+    out = small_batches(rows).mapInArrow(run, schema)
+    return out.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in docs.columns if c != "n_removed"], "n_removed")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_substrings(docs).select("doc_id", "n_sentences", "n_removed", "text")
+    return dedup_substrings(docs).select("doc_id", "n_removed", "text")
