@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from digest_spark.llm.arrowtext import DIGIT, HIGH, LETTER, PUNCT, SPACE, as_binary, by_bytes, byte_classes, column_bytes, pieces, values
+from digest_spark.llm.shared import small_batches
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Bytes of text that a task holds at a time, and distinct fragments that it remembers.
@@ -178,7 +179,7 @@ def bpe_round_trip(
             }
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in keep], *[made[x]() for x in outputs]], names=[*keep, *outputs])
 
-    return own.mapInArrow(run, schema)
+    return small_batches(own).mapInArrow(run, schema)
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digest_spark.llm.arrowtext import by_bytes
-from digest_spark.llm.shared import written
+from digest_spark.llm.shared import small_batches, written
 
 WINDOW = 10
 BATCH_BYTES = 8 << 20
@@ -125,7 +125,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", *,
                 arrays = [batch.column(c) for c in (*kept, "__text")] + [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(names, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-        return frame.mapInArrow(run, schema)
+        return small_batches(frame).mapInArrow(run, schema)
 
     out, passes = own, 0
     blocks = item_blocks(items, block_bytes)

@@ -18,11 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from digest_spark.llm.arrowtext import by_bytes
+from digest_spark.llm.shared import small_batches
 from digest_spark.llm.words import Words, mixed, words_in
 
 UNDETERMINED = "und"
@@ -229,15 +231,18 @@ def identify(docs: DataFrame, text: str = "text", *, keep: tuple[str, ...] = (),
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, text, lang, doc_id)))
     kept = [c for c in keep if c not in ("lang_pred", "score")]
-    own = docs.select(*[docs[c] for c in kept], F.when(docs[text].rlike(r"\p{L}"), docs[text]).alias("__text"))
-    schema = T.StructType([*[own.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    column = {c: "__text" if c == text else c for c in kept}  # the text is passed once
+    own = docs.select(*[docs[c] for c in kept if c != text], docs[text].alias("__text"), docs[text].rlike(r"\p{L}").alias("__letters"))
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "__text", BATCH_BYTES):
+            letters = pc.fill_null(batch.column("__letters"), False).to_numpy(zero_copy_only=False)
             names, score = model.value.predict(batch.column("__text"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+            names, score = [x if there else UNDETERMINED for x, there in zip(names, letters, strict=True)], np.where(letters, score, 0.0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(column[c]) for c in kept], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return own.mapInArrow(run, schema)
+    return small_batches(own).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -251,6 +256,5 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that have a language."""
-    found = identify(docs.withColumn("__whole", docs["text"]), keep=(*[c for c in docs.columns if c != "text"], "__whole"))
-    stay = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > LEAST_SHARE))
-    return stay.withColumnRenamed("__whole", "text").select(*docs.columns)
+    found = identify(docs, keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > LEAST_SHARE)).select(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from digest_spark.llm.arrowtext import by_bytes
-from digest_spark.llm.shared import text_key
+from digest_spark.llm.shared import small_batches, text_key
 
 SHARDS = 8
 SEED = 42
@@ -78,7 +78,7 @@ def shuffled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, see
 
     schema = T.StructType([*docs.select(*own).schema, T.StructField("position", T.LongType())])
     sort = dealt.repartitionById(buckets, F.col("__bucket")).withColumn("__key", text_key(text)).sortWithinPartitions("__bucket", doc_id, "__key").drop("__key")
-    return sort.mapInArrow(run, schema), rows
+    return small_batches(sort).mapInArrow(run, schema), rows
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id", *, seed: int = SEED) -> DataFrame:

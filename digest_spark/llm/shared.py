@@ -32,3 +32,11 @@ def text_key(text: str | Column) -> Column:
     """A 64-bit key of a text; null texts have one of their own."""
     column = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.xxhash64(column), F.lit(0).cast("long"))
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table, its session set to hand whole texts to Python in batches of at most 1000 rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > 1000:
+        conf.set(key, 1000)
+    return df

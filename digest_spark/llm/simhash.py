@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from digest_spark.llm.arrowtext import by_bytes
 from digest_spark.llm.components import connected_components
-from digest_spark.llm.shared import text_key, written
+from digest_spark.llm.shared import small_batches, text_key, written
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -91,7 +91,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", *, keep: tuple[str, ..
             fp = fingerprint_all([(x or "").encode() for x in batch.column("__text").to_pylist()], shingle_words)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], batch.column("text_key"), pa.array(fp.view(np.int64))], names=[*keep, "text_key", "fp"])
 
-    return own.mapInArrow(run, schema)
+    return small_batches(own).mapInArrow(run, schema)
 
 
 def links_within(query: np.ndarray, first_word: np.ndarray, words: np.ndarray, planes: np.ndarray, valid: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

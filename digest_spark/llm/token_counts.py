@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from digest_spark.llm.arrowtext import as_binary, by_bytes, column_bytes, pieces, values
 from digest_spark.llm.bpe import forced_cuts
+from digest_spark.llm.shared import small_batches
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 CONTEXT_TOKENS = 2048
@@ -104,7 +105,7 @@ def token_counts(docs: DataFrame, text: str = "text", *, keep: tuple[str, ...] =
             _, offsets = column_bytes(texts)
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in keep], pa.array(np.diff(offsets)), pa.array(c.count(texts))], names=[*keep, "n_bytes", "n_tokens"])
 
-    return own.mapInArrow(run, schema)
+    return small_batches(own).mapInArrow(run, schema)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from digest_spark.llm.arrowtext import by_bytes
 from digest_spark.llm.language import held_out
+from digest_spark.llm.shared import small_batches
 from digest_spark.llm.words import mixed, words_in
 
 #: The model is fitted on about so many labelled documents, chosen by hash.
@@ -228,7 +229,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", *, keep: tu
         for batch in by_bytes(batches, "__text", BATCH_BYTES):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(model.value.scores(batch.column("__text")))], names=schema.names)
 
-    return own.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return small_batches(own).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
