@@ -158,6 +158,33 @@ def test_lines_by_brute_force(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    rng = np.random.default_rng(11)
+    base = [[f"w{rng.integers(40)}" for _ in range(n)] for n in [*range(5, 31), 60, 90] for _ in range(2)]
+    rows = []
+    for i in range(70):
+        lines = []
+        for _ in range(4):
+            words = list(base[rng.integers(len(base))])
+            for _ in range(rng.integers(0, len(words) // 5 + 2)):
+                at, kind = rng.integers(len(words)), rng.integers(3)
+                words[at : at + (kind != 1)] = [] if kind == 2 and len(words) > 5 else [f"x{rng.integers(9)}"]
+            lines.append(" ".join(words))
+        rows.append((i, "\n".join([*lines, "", "the very common line of all", "a b " * (5 + i % 9)])))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    want, close = plain_drops(rows, radius=64), plain_drops(rows)
+    assert len(want) > len(close) + 50
+    for tile in (2, 512):
+        got = {(r["id"], n) for r in line_dedup.repeated_lines(df, radius=None, tile=tile).collect() for n in r["drop"]}
+        assert got == want
+
+
+def test_queries_find_far_fingerprints(spark):
+    words = [f"w{i}" for i in range(10)]
+    docs = spark.createDataFrame([(0, " ".join(words), "en", "s", 0), (1, " ".join(["x", *words[1:]]), "en", "s", 0), (2, " ".join([*words[:5], "y", "z", *words[7:]]), "en", "s", 0)], SCHEMA)
+    assert [r["doc_id"] for r in line_dedup.pipeline_stage(spark, docs, "").collect()] == [0]
+
+
 def test_repeated_rows_lose_the_same_lines(spark):
     line = "five words stand in line"
     df = spark.createDataFrame([(1, line, "en", "s", 0), (1, line, "en", "s", 0), (2, line, "en", "s", 0), (None, line, "en", "s", 0)], SCHEMA)
