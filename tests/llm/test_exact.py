@@ -165,6 +165,29 @@ def test_substrings(spark):
     assert substring_dedup.dedup_substrings(df.union(df)).where("doc_id = 2").agg(F.max("n_removed")).first()[0] == 0
 
 
+def test_passages_in_mid_sentence(spark):
+    rng = np.random.default_rng(3)
+    some = lambda name, n: " ".join(f"{name}{rng.integers(10**6)}" for _ in range(n))
+    cases = [(n, dots) for n in range(50, 90) for dots in (False, True)]
+    rows, passages = [], []
+    for i, (n, dots) in enumerate(cases):
+        words = some("p", n).split()
+        if dots:
+            for _ in range(2):
+                words[rng.integers(n)] += "."
+        passages.append(words)
+        for copy in (0, 1000):
+            rows.append((i + copy, " ".join([some("a", rng.integers(0, 40)), *words, some("b", rng.integers(0, 40))]).strip(), "en", "s", 0))
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    left = []
+    for i, words in enumerate(passages):
+        assert got[i]["n_removed"] == 0 and got[i + 1000]["n_removed"] > 0
+        rest = got[i + 1000]["text"].split()
+        assert [w for w in rest if w[0] != "p"] == [w for w in rows[2 * i + 1][1].split() if w[0] != "p"]
+        left.append(sum(w[0] == "p" for w in rest) / len(words))
+    assert max(left) < 0.6 and sum(left) / len(left) < 0.2
+
+
 def test_contamination(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     items = spark.createDataFrame([(1, item), (10, item), (2, "tiny Item"), (3, None), (4, "..."), (None, "nobody knows this")], "item_id long, text string")
