@@ -224,6 +224,17 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int =
     return tiled.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
+def rooted(docs: DataFrame, text: str, doc_id: str, radius: int) -> DataFrame:
+    """near_duplicates, and the root of each row's group: one of its fingerprints."""
+    own = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    prints = written(with_fingerprint(own, keep=("doc_id",)))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    groups = connected_components(fingerprint_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    labels = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(labels.join(least, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "text_key", "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, text_key, fp, component_id (the smallest doc_id reachable by links).
 
@@ -232,19 +243,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     the others of their group, or null if all are null; rows that repeat a doc_id are rows of
     their own. Other columns are not read. An empty table gives no rows.
     """
-    own = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    prints = written(with_fingerprint(own, keep=("doc_id",)))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = connected_components(fingerprint_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    labels = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(labels.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "text_key", "fp", "component_id")
+    return rooted(docs, text, doc_id, radius).drop("root")
 
 
 def keep_one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents with one row left of each near-duplicate group: that with the smallest (doc_id, text_key)."""
-    groups = near_duplicates(docs, text, doc_id)
-    stay = groups.groupBy(F.coalesce("component_id", F.lit(-1)).alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x"))
+    groups = rooted(docs, text, doc_id, RADIUS)
+    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x"))
     stay = stay.select(F.col("x.doc_id").alias("__id"), F.col("x.text_key").alias("__key"))
     keyed = docs.withColumn("__key2", text_key(docs[text]))
     found = keyed.join(stay, keyed[doc_id].eqNullSafe(stay["__id"]) & (keyed["__key2"] == stay["__key"]), "left_semi")

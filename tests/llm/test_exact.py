@@ -137,6 +137,15 @@ def test_near_duplicates(spark):
     assert simhash.keep_one_per_group(none).count() == 1
 
 
+def test_groups_are_told_apart_without_ids(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(50)) for name in "abcdef"]
+    ids = [None, None, None, 5, 5, -1]
+    rows = [(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows + rows[:2] + [(9, texts[2], "en", "s", 0)], SCHEMA)).collect()
+    want = [(None, texts[0]), (None, texts[1]), (9, texts[2]), (5, texts[3]), (5, texts[4]), (-1, texts[5])]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, want))
+
+
 def test_components_of_paths_and_stars(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(5, 5), (None, 1)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
