@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from digest_spark.llm.arrowtext import by_bytes
 from digest_spark.llm.decontamination import WORD_TABLE
-from digest_spark.llm.shared import small_batches, text_key, written
+from digest_spark.llm.shared import dropped, small_batches, text_key, written
 
 RUN_SENTENCES = 3
 RUN_WORDS = 20
@@ -119,10 +119,12 @@ def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     last = (1 << 63) - 1
     own = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(last)).alias("id"), text_key(docs[text]).alias("key"), docs[text].alias("text"))
     found = written(span_table(own))
-    repeated = found.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "g", "first")
+    # written by itself, so that the shuffles of the aggregate and of the join are not on disk at once
+    repeated = written(found.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "g", "first"))
     elsewhere = found.where("not again").join(repeated, ["h", "g"]).where("id > first")
     places = elsewhere.select("id", "key", "at", "stop").union(found.where("again").select("id", "key", "at", "stop"))
     gone = written(places.groupBy("id", "key").agg(F.collect_set(F.array("at", "stop")).alias("__at")).toDF("__id", "__key", "__at"))
+    dropped(found)
     size = gone.agg(F.sum(2 * F.size("__at") + 2).alias("n")).first()["n"] or 0
     gone = F.broadcast(gone) if size <= BROADCAST_NUMBERS else gone
     kept = [c for c in docs.columns if c not in ("n_removed", text)]
