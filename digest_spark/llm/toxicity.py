@@ -1,9 +1,12 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over affix and word features is fitted to labelled documents. For every fitted
-text that names a group of people, and for every group name in a neutral frame, the name is swapped
-for the others of its kind, and the squared change of the score is penalised, so that the model
-does not learn that naming a group is toxic.
+A logistic model over affix and word features is fitted to labelled documents. Of every fitted text,
+a sentence with an identity term is taken, the term is swapped, and the squared change of the sentence's
+score is penalised, so that the model does not learn that a mention is toxic. So are names in a
+neutral frame. Identity terms are names of groups of people (swapped for others of their kind) and,
+as a corpus may name none of these, the words that it mentions in clean texts all the time but in toxic
+ones more often (swapped for words of the text that lean to neither side). Insults, which clean
+texts lack, are no such words.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import types as T
 
 from digest_spark.llm.arrowtext import by_bytes
 from digest_spark.llm.language import held_out
-from digest_spark.llm.shared import small_batches
+from digest_spark.llm.shared import small_batches, written
 from digest_spark.llm.words import mixed, words_in
 
 #: The model is fitted on about so many labelled documents, chosen by hash.
@@ -39,8 +43,13 @@ IDENTITIES = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("black", "white", "asian", "latino", "arab"),
-    ("mujeres", "hombres", "femmes", "hommes", "frauen", "männer"),
+    ("mujeres", "hombres"),
+    ("femmes", "hommes"),
+    ("frauen", "männer"),
 )
+#: Terms found in the corpus stand in such a share of the clean texts at least; so many lean to toxic texts, and to neither side, at most.
+CLEAN_SHARE, LEANING, NEUTRAL = 0.02, 48, 400
+SENTENCE = re.compile(r"[^.!?\n]+")
 NEUTRAL_FRAME = "{} people live here and work in the city"
 
 
@@ -56,6 +65,45 @@ def swaps(text: str, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> li
     return out
 
 
+@dataclass
+class Terms:
+    """The terms that are swapped: kinds of names, words that lean to toxic texts, words that lean to neither side."""
+
+    kinds: tuple[tuple[str, ...], ...] = IDENTITIES
+    leaning: frozenset[str] = frozenset()
+    neutral: frozenset[str] = frozenset()
+
+    def every(self) -> list[str]:
+        return sorted({name for kind in self.kinds for name in kind} | self.leaning | self.neutral)
+
+    def counterfactual(self, text: str) -> tuple[str, str] | None:
+        """A sentence of the text and the same with its identity terms swapped; the choices are made by hash."""
+        names = {x for kind in self.kinds for x in kind}
+        found = re.findall(r"\w+", text.lower())
+        others = sorted(set(found) & self.neutral, key=lambda x: crc32(x.encode()))
+        held = [x for x in SENTENCE.findall(text) if not (names if not others else names | self.leaning).isdisjoint(re.findall(r"\w+", x.lower()))]
+        if not held:
+            return None
+        sentence = min(held, key=lambda x: crc32(x.encode()))
+        steps = swaps(sentence, self.kinds)
+        changed = steps[crc32(text.encode()) % len(steps)] if steps else sentence
+        if others:
+            changed = re.sub(r"\w+", lambda m: others[crc32(m[0].encode()) % len(others)] if m[0].lower() in self.leaning else m[0], changed)
+        return sentence, changed
+
+
+def mined_terms(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """The words of many clean texts that toxic texts hold more often, the most so, and those that they hold about as often."""
+    words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where("length(w) > 2")
+    total = sample.agg(F.sum("toxic").alias("ones"), F.count("*").alias("all")).first()
+    ones, zeros = max(1, total["ones"] or 0), max(1, total["all"] - (total["ones"] or 0))
+    counts = words.groupBy("w").agg((F.sum("toxic") / ones).alias("one"), (F.sum(1 - F.col("toxic")) / zeros).alias("zero")).where(F.col("zero") >= CLEAN_SHARE)
+    lean = counts.withColumn("lean", (F.col("one") - F.col("zero")) / F.sqrt(F.col("one") + F.col("zero")))
+    most = lean.where("lean > 0.05").orderBy(F.desc("lean"), "w").limit(LEANING)
+    least = lean.where("abs(lean) <= 0.05").orderBy(F.desc("zero"), "w").limit(NEUTRAL)
+    return tuple(frozenset(r["w"] for r in x.collect()) for x in (most, least))
+
+
 def features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, 64-bit feature) of every word and prefix, and the number of words of each text."""
     words = words_in(texts)
@@ -75,6 +123,7 @@ class Model:
     rate_weights: np.ndarray
     bias: float
     table: np.ndarray | None = field(default=None, compare=False)
+    swapped: int = 0  # pairs of sentences whose features a swap changed
 
     def values(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text number, feature number, log of its count, log of its count in a thousand words)."""
@@ -119,35 +168,36 @@ def telling_features(sample: DataFrame, most: int) -> np.ndarray:
     return np.unique(np.array([r["f"] for r in top.collect()], np.int64).view(np.uint64))
 
 
-def sparse_values(sample: DataFrame, model: Broadcast) -> DataFrame:
-    """(text number in its batch, toxic, features, counts, rates) of the sample, and of its swapped texts."""
+def sparse_values(sample: DataFrame, model: Broadcast, terms: Terms) -> DataFrame:
+    """(id, toxic, part, features, counts, rates): each text of the sample, and (parts 1 and 2) a sentence before and after the swap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.float32())
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            swapped = [(i, y) for i, x in enumerate(texts) for y in swaps(x)]
-            ids = batch.column("id").to_pylist()
-            every = texts + [y for _, y in swapped]
+            ids, toxic = batch.column("id").to_pylist(), batch.column("toxic").to_pylist()
+            swapped = [(i, part, y) for i, x in enumerate(texts) if (two := terms.counterfactual(x)) for part, y in enumerate(two, 1)]
+            every = texts + [y for *_, y in swapped]
             row, feature, count, rate = model.value.values(pa.array(every, pa.string()))
             ends = np.searchsorted(row, np.arange(len(every) + 1))
             spans = list(zip(ends[:-1], ends[1:], strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids + [ids[i] for i, _ in swapped], pa.string()),
-                    pa.array(batch.column("toxic").to_pylist() + [None] * len(swapped), pa.int32()),
+                    pa.array(ids + [ids[i] for i, *_ in swapped], pa.int64()),
+                    pa.array(toxic + [None] * len(swapped), pa.int32()),
+                    pa.array([0] * len(texts) + [part for _, part, _ in swapped], pa.int32()),
                     pa.array([feature[a:b] for a, b in spans], pa.list_(pa.int32())),
                     pa.array([count[a:b] for a, b in spans], kind),
                     pa.array([rate[a:b] for a, b in spans], kind),
                 ],
-                names=["id", "toxic", "f", "c", "r"],
+                names=["id", "toxic", "part", "f", "c", "r"],
             )
 
-    return sample.mapInArrow(run, "id string, toxic int, f array<int>, c array<float>, r array<float>")
+    return sample.mapInArrow(run, "id long, toxic int, part int, f array<int>, c array<float>, r array<float>")
 
 
-def fit(features: np.ndarray, rows: list[tuple], pairs: list[tuple[int, int]], steps: int = 400) -> Model:
-    """Descends the logistic loss plus RIDGE |w|^2 plus SWAP times the mean squared change over pairs.
+def fit(features: np.ndarray, rows: list[tuple], pairs: list[tuple[int, int]], steps: int = 400, swap: float = SWAP) -> Model:
+    """Descends the logistic loss plus RIDGE |w|^2 plus `swap` times the mean squared change over pairs.
 
     rows: (toxic or None for a swapped text, features, counts, rates); pairs: numbers of rows.
     """
@@ -171,7 +221,7 @@ def fit(features: np.ndarray, rows: list[tuple], pairs: list[tuple[int, int]], s
         push[known] = (1 / (1 + np.exp(-np.clip(z[known], -30, 30))) - y) / len(known)
         shift = push.sum()
         if len(a):
-            gap = 2 * SWAP * (z[a] - z[b]) / len(a)
+            gap = 2 * swap * (z[a] - z[b]) / len(a)
             np.add.at(push, a, gap)
             np.add.at(push, b, -gap)
         slope = np.concatenate([np.bincount(cols, push[at] * x, 2 * n) + 2 * RIDGE * w, [shift]])
@@ -183,33 +233,38 @@ def fit(features: np.ndarray, rows: list[tuple], pairs: list[tuple[int, int]], s
     return Model(features, w[:n], w[n:], base)
 
 
-def trained(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, *, swap: float = SWAP) -> tuple[Model, Terms]:
+    """The model, fitted on about SAMPLE_DOCS labelled rows at any size of the input, and the terms that were swapped."""
     spark = docs.sparkSession
     known = labels.where(labels[label].isNotNull() & labels[doc_id].isNotNull()).groupBy(labels[doc_id].alias("__id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("__id").cast("string")) % 5 != 0)
-    n = known.count()
-    drawn = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLE_DOCS / max(1, n)))
-    # about SAMPLE_DOCS rows at most, at any size of the input
-    sample = docs.join(F.broadcast(drawn), docs[doc_id] == drawn["__id"]).select(F.col("__id").cast("string").alias("id"), docs[text].alias("text"), "toxic")
-    features = telling_features(sample, FEATURES)
+    at_most = lambda n: 1_000_000 * min(1.0, SAMPLE_DOCS / max(1, n))
+    drawn = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < at_most(known.count()))
+    found = docs.join(F.broadcast(drawn), docs[doc_id] == drawn["__id"]).select(docs[text].alias("text"), "toxic", F.xxhash64(F.col("__id").cast("string"), docs[text]).alias("id"))
+    # a doc_id may have many rows, so these are drawn again
+    sample = written(found.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < at_most(found.count())))
+    terms = Terms(IDENTITIES, *mined_terms(sample))
+    of_terms = features_of(pa.array(terms.every(), pa.string()))[1]
+    features = np.union1d(telling_features(sample, FEATURES), of_terms)
     blank = Model(features, np.zeros(len(features)), np.zeros(len(features)), 0.0)
-    found = sorted((r["id"], r["toxic"] is None, r["f"], r["c"], r["r"], r["toxic"]) for r in sparse_values(sample, spark.sparkContext.broadcast(blank)).collect())
-    rows = [(r[5], r[2], r[3], r[4]) for r in found]
-    frames = [NEUTRAL_FRAME.format(name) for kind in IDENTITIES for name in kind]
+    values = sorted((r["id"], r["part"], r["f"], r["c"], r["r"], r["toxic"]) for r in sparse_values(sample, spark.sparkContext.broadcast(blank), terms).collect())
+    rows = [(r[5] if r[1] == 0 else None, r[2], r[3], r[4]) for r in values]
+    before = {}
+    for i, r in enumerate(values):
+        if r[1] == 1:
+            before[r[0]] = i
+    pairs = [(before[r[0]], i) for i, r in enumerate(values) if r[1] == 2]
+    changed = sum(rows[a][1:] != rows[b][1:] for a, b in pairs)
+    frames = [NEUTRAL_FRAME.format(name) for kind in terms.kinds for name in kind]
     row, feature, count, rate = blank.values(pa.array(frames, pa.string()))
-    for i in range(len(frames)):
-        rows.append((None, feature[row == i], count[row == i], rate[row == i]))
-    pairs, last = [], None
-    for i, r in enumerate(found):
-        if r[5] is not None:
-            last = i
-        elif last is not None and found[last][0] == r[0]:
-            pairs.append((last, i))
-    at = len(found)
-    for kind in IDENTITIES:
+    at = len(rows)
+    rows += [(None, feature[row == i], count[row == i], rate[row == i]) for i in range(len(frames))]
+    for kind in terms.kinds:
         pairs += [(at, at + k) for k in range(1, len(kind))]
         at += len(kind)
-    return fit(features, rows, pairs)
+    model = fit(features, rows, pairs, swap=swap)
+    model.swapped = changed
+    return model, terms
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", *, keep: tuple[str, ...] = (), doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -218,9 +273,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", *, keep: tu
     Labels are joined by doc_id outside the held-out fold, crc32(doc_id as text) mod 5 = 0; null
     labels and ids teach nothing, and of repeated labels the largest counts. Null and empty texts
     get the score of a text without features. Without any label every score is 0.5. Repeated rows
-    get the same result; other columns are not read.
+    get the same result; other columns are not read. A text of any length is scored in one piece.
     """
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, text, doc_id, label))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, text, doc_id, label)[0])
     kept = [c for c in keep if c not in ("score", "predicted")]
     own = docs.select(*[docs[c] for c in kept], docs[text].alias("__text"))
     schema = T.StructType([*[own.schema[c] for c in kept], T.StructField("score", T.DoubleType())])

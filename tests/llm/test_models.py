@@ -84,6 +84,31 @@ def test_swaps_pull_group_names_together():
     assert fair.scores(pa.array(["you are scum"]))[0] > 0.5 > fair.scores(pa.array(["we met today"]))[0]
 
 
+def test_swaps_act_on_the_registered_model(spark):
+    import re
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = docs.join(labels, "doc_id").where("toxic = 0 and crc32(cast(doc_id as string)) % 5 = 0").select("text").collect()
+    over, gap = [], []
+    for swap in (0.0, toxicity.SWAP):
+        model, terms = toxicity.trained(docs, labels, "text", "doc_id", "toxic", swap=swap)
+        assert model.swapped > 100
+        mentions = [x for r in held for x in re.findall(r"[^.!?\n]+", r["text"] or "") if not terms.leaning.isdisjoint(re.findall(r"\w+", x.lower()))]
+        over.append((model.scores(pa.array(mentions)) > 0.1).sum())
+        pairs = [x for r in held if (x := terms.counterfactual(r["text"] or ""))]
+        gap.append(np.abs(model.scores(pa.array([a for a, _ in pairs])) - model.scores(pa.array([b for _, b in pairs]))).mean())
+    assert over[1] < 0.5 * over[0] and gap[1] < 0.2 * gap[0]
+
+
+def test_counterfactual_swaps_names_and_leaning_words():
+    terms = toxicity.Terms(leaning=frozenset(["anon"]), neutral=frozenset(["theor"]))
+    assert terms.counterfactual("") is None and terms.counterfactual("anon alone") is None
+    assert terms.counterfactual("Anon is here. theor") == ("Anon is here", "theor is here")
+    before, after = terms.counterfactual("We met two muslim men there")
+    assert before != after and after.split()[:3] == ["We", "met", "two"]
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "x", "en", "s", 0)], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -179,6 +204,34 @@ def test_lines_by_edit_similarity_alone(spark):
         assert got == want
 
 
+def test_line_recall_by_length(spark):
+    """Links at the least similarity, and of lines one word apart, by pairs of lines of 5 to 120 words."""
+    rng = np.random.default_rng(8)
+    rows, cases = [], []
+    for n in range(5, 121, 5):
+        for k in range(24):
+            words = [f"v{int(x)}" for x in rng.zipf(1.3, n) % 5000]
+            other = list(words)
+            for at in rng.choice(n, 1 if k % 2 else n // 5, replace=False):
+                other[at] = f"y{rng.integers(10**6)}"
+            cases.append((n, k % 2, 2 * len(cases)))
+            rows += [(2 * len(cases) - 2, " ".join(words)), (2 * len(cases) - 1, " ".join(other))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    gone = {r["id"] for r in line_dedup.repeated_lines(df, radius=None, least_words=1).collect()}
+    found = [(n, one, i + 1 in gone) for n, one, i in cases]
+    assert all(hit for n, one, hit in found if one or n <= 23)
+    far = [hit for n, one, hit in found if not one and n > 23]
+    assert sum(far) >= 0.97 * len(far)
+
+
+def test_short_lines_and_long_repeats(spark):
+    texts = ["ok\nyes", "OK!\nno", "a b c\n\n", "a b x", "word " * 3000, "word " * 2900 + "other " * 100, None]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(df, radius=None, least_words=1).collect()}
+    assert got[0] == (texts[0], 0) and got[1] == ("no", 1) and got[2] == (texts[2], 0) and got[3] == (texts[3], 0)
+    assert got[4] == (texts[4], 0) and got[5] == ("", 1) and got[6] == (None, 0)
+
+
 def test_queries_find_far_fingerprints(spark):
     words = [f"w{i}" for i in range(10)]
     docs = spark.createDataFrame([(0, " ".join(words), "en", "s", 0), (1, " ".join(["x", *words[1:]]), "en", "s", 0), (2, " ".join([*words[:5], "y", "z", *words[7:]]), "en", "s", 0)], SCHEMA)
