@@ -22,10 +22,10 @@ def latest_people(responses: DataFrame, default_language: str) -> DataFrame:
 
 
 def single_events(articles: DataFrame) -> DataFrame:
-    """An event for each article, as if no two were about the same fact."""
+    """An event for each article, as if no two were about the same fact; the summary is the description's first sentence."""
     none = F.array().cast("array<struct<link:string,publisher:string>>")
     return articles.select(
-        F.col("article_pos").alias("event_id"), "topic_key", F.col("article_pos").alias("cluster_pos"), "title", F.col("url").alias("link"), F.substring("description", 1, 120).alias("summary"), "published_raw", "publisher", none.alias("others")
+        F.col("article_pos").alias("event_id"), "topic_key", F.col("article_pos").alias("cluster_pos"), "title", F.col("url").alias("link"), F.substring_index("description", ".", 1).alias("summary"), "published_raw", "publisher", none.alias("others")
     )
 
 

@@ -49,9 +49,9 @@ PROFILES = f"""{RESPONSES}, lang_map AS (SELECT * FROM (VALUES {rows(LANGUAGES)}
 )"""
 ARTICLES = """
 articles AS (
-    SELECT doc_id AS article_pos, substring(flat, 1, 80) AS title, substring(flat, 1, 400) AS description,
+    SELECT doc_id AS article_pos, substring(flat, 1, 80) AS title, substring(flat, 81) AS description,
            'https://' || source || '.example.com/' || doc_id AS url, source AS publisher, lang,
-           TIMESTAMP '2024-01-01' + to_minutes(CAST(10 * (doc_id % 1000000) AS BIGINT)) AS published_ts, source || '|' || lang AS topic_key
+           TIMESTAMP '2023-12-31 06:00:00' + to_minutes(CAST((doc_id * 7919) % 4320 AS BIGINT)) AS published_ts, source || '|' || lang AS topic_key
     FROM (SELECT *, regexp_replace(text, '\\s+', ' ', 'g') AS flat FROM documents)
 ), dated AS (
     SELECT *, strftime(published_ts, '%a, %d %b %Y %H:%M:%S') || ' GMT' AS published_raw, strftime(published_ts - INTERVAL 3 HOUR, '%d/%m/%Y %H:%M') AS local_time FROM articles
@@ -112,7 +112,7 @@ GROUPS = f"""{BATCHED}, keys AS (
 EVENTS = f"""{PROFILES}, {ARTICLES.strip()}, ledger AS (
     SELECT url AS link FROM articles WHERE article_pos % 7 = 0
 ), events AS (
-    SELECT article_pos AS event_id, topic_key, article_pos AS cluster_pos, title, url AS link, substring(description, 1, 120) AS summary, local_time, publisher FROM listed
+    SELECT article_pos AS event_id, topic_key, article_pos AS cluster_pos, title, url AS link, split_part(description, '.', 1) AS summary, local_time, publisher FROM listed
 ), quoted AS (
     SELECT email, lang_pos, lang_code AS lang, regexp_extract_all(query_string, '"(.*?)"', 1) AS t FROM searches
 ), profile_terms AS (
@@ -176,12 +176,12 @@ ORACLES = {
         string_agg('[' || pos || '] ' || replace(title, chr(10), ' ') || ' || ' || substring(description, 1, 60) || '...' || chr(10), '' ORDER BY pos) AS lines FROM listed GROUP BY ALL""",
     "parse_relevant_ids": f"WITH {BATCHED} SELECT topic_key, batch_no, array_to_string(ids, ',') AS ids FROM ids",
     "select_approved": f"WITH {BATCHED} SELECT topic_key, pos, article_pos, batch_no, reply_pos FROM approved",
-    "clean_summary": f"""WITH {ARTICLES} SELECT article_pos, trim(trim(' "' || substring(description, 1, 50) || '"" ' || chr(10), ' ' || chr(10)), '"') AS summary FROM articles""",
+    "clean_summary": f"""WITH {ARTICLES} SELECT article_pos, trim(trim(' "' || description || '"" ' || chr(10), ' ' || chr(10)), '"') AS summary FROM articles""",
     "parse_groups": f"WITH {GROUPS} SELECT topic_key, group_pos, member_pos, id, usable FROM groups",
     "rank_members": f"""WITH {GROUPS} SELECT topic_key, group_pos, pos, row_number() OVER (PARTITION BY topic_key, group_pos ORDER BY length(t) DESC, member_pos) - 1 AS rank
         FROM (SELECT g.topic_key, group_pos, g.id AS pos, g.member_pos, substring(title, 1, CAST(80 - article_pos % 3 * 5 AS INTEGER)) AS t FROM groups g JOIN listed l ON l.topic_key = g.topic_key AND l.pos = g.id WHERE usable)""",
     "cluster_from_groups": f"WITH {GROUPS} SELECT * FROM clusters",
-    "enriched_articles": f"""WITH {BATCHED} SELECT topic_key, article_pos, title, url AS link, trim(trim(substring(description, 1, 60)), '"') AS summary, published_raw, publisher FROM approved""",
+    "enriched_articles": f"""WITH {BATCHED} SELECT topic_key, article_pos, title, url AS link, trim(trim(description), '"') AS summary, published_raw, publisher FROM approved""",
     "is_final_url": f"WITH {PAGES} SELECT page_id, NOT contains(raw, 'google.com') AS final FROM pp",
     "is_text_content": f"WITH {PAGES} SELECT page_id, NOT (contains(lower(content_type), 'application/pdf') OR contains(lower(content_type), 'image')) AS is_text FROM pp",
     "resolve_urls": f"WITH {PAGES} SELECT page_id, url AS link FROM pp WHERE page_id % 4 <> 0 OR page_id % 8 = 0",
@@ -195,7 +195,7 @@ ORACLES = {
     "assemble_digest": f"""WITH {EVENTS}, d AS (SELECT email, count(*) AS n, string_agg(item, '' ORDER BY ord) AS body, string_agg(link, ' ' ORDER BY ord) AS links FROM chosen JOIN items USING (event_id) GROUP BY email)
         SELECT email, 'AUTOMÁTICO | Boletim (02/01/2024)' AS subject, '<html><body><h1>Boletim: últimas 24h</h1><p>Suas preferências: ' || array_to_string(categories, ', ') || '</p>' || body || '<p>Termos filtrados: {", ".join(EXCLUDED_TITLE_WORDS)}.</p></body></html>' AS html,
                CAST(n AS INTEGER) AS n_events, links FROM d JOIN people USING (email)""",
-    "ledger_append": f"WITH {EVENTS} SELECT DISTINCT link FROM (SELECT link FROM chosen UNION ALL SELECT url FROM articles WHERE article_pos % 5 = 0) WHERE link NOT IN (SELECT link FROM ledger)",
+    "ledger_append": f"WITH {EVENTS} SELECT DISTINCT link FROM (SELECT link FROM chosen UNION ALL SELECT url FROM articles) WHERE link NOT IN (SELECT link FROM ledger)",
     "topic_funnel": f"""WITH {GROUPS}, t AS (
             SELECT topic_key, 1 AS a, 0 AS b, 0 AS c, 0 AS d FROM listed UNION ALL SELECT topic_key, 0, 1, 0, 0 FROM batched
             UNION ALL SELECT topic_key, 0, 0, 1, 0 FROM approved UNION ALL SELECT topic_key, 0, 0, 0, 1 FROM clusters WHERE member_pos = 0)

@@ -235,7 +235,7 @@ def select_approved(s, d):
 
 @query
 def clean_summary(s, d):
-    raw = F.concat(F.lit(' "'), F.substring("description", 1, 50), F.lit('"" \n'))
+    raw = F.concat(F.lit(' "'), F.col("description"), F.lit('"" \n'))
     return views.articles(s, d).select("article_pos", text.clean_summary(raw).alias("summary"))
 
 
@@ -258,7 +258,7 @@ def cluster_from_groups(s, d):
 
 @query
 def enriched_articles(s, d):
-    rows = approved(s, d).withColumn("link", F.col("url")).withColumn("summary", text.clean_summary(F.substring("description", 1, 60)))
+    rows = approved(s, d).withColumn("link", F.col("url")).withColumn("summary", text.clean_summary(F.col("description")))
     return enrich.enriched(rows)
 
 
@@ -296,7 +296,7 @@ def html_to_text(s, d):
 @query
 def attach_text(s, d):
     rows = views.pages(s, d)
-    found = rows.where("page_id % 5 != 0").select("page_id", F.col("url").alias("link"), F.substring("html", 1, 90).alias("description"))
+    found = rows.select("page_id", F.col("url").alias("link"), F.col("html").alias("description"))
     return enrich.attach_text(found, rows.select("url", "html", "content_type")).select("page_id", "link", "text")
 
 
@@ -337,7 +337,7 @@ def assemble_digest(s, d):
 
 @query
 def ledger_append(s, d):
-    links = chosen(s, d).select("link").union(views.articles(s, d).where("article_pos % 5 = 0").select("url"))
+    links = chosen(s, d).select("link").union(views.articles(s, d).select("url"))
     return files.ledger_additions(links, views.ledger(s, d))
 
 

@@ -47,16 +47,17 @@ def topics(spark: SparkSession) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles: the first 80 characters are the headline, all others the description; dates spread over three days."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     flat = F.regexp_replace("text", r"\s+", " ")
-    rows = d.select(
+    rows = d.withColumn("flat", flat).select(
         F.col("doc_id").alias("article_pos"),
-        F.substring(flat, 1, 80).alias("title"),
-        F.substring(flat, 1, 400).alias("description"),
+        F.substring("flat", 1, 80).alias("title"),
+        F.expr("substring(flat, 81)").alias("description"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("source").alias("publisher"),
         "lang",
-        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.pmod(F.col("doc_id"), F.lit(1_000_000)).cast("int") * 10)).alias("published_ts"),
+        (F.lit("2023-12-31 06:00:00").cast("timestamp") + F.make_dt_interval(mins=F.pmod(F.col("doc_id") * 7919, F.lit(4320)).cast("int"))).alias("published_ts"),
         topic_key(F.col("source"), F.col("lang")).alias("topic_key"),
     )
     return rows.withColumn("published_raw", F.concat(F.date_format("published_ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))

@@ -6,6 +6,7 @@ Input rows: (topic_key, pos, title, ...), pos being places from 0 in a topic's l
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -24,6 +25,8 @@ GROUP_PROMPT = "Tópico: %s\nManchetes numeradas:\n%s\nJunte os números que tra
 ONE_TASK, TILE = 1_000, 250
 #: Headlines shown to the judge at once.
 PART = 200
+#: Groups of one part are numbered below this.
+PART_GROUPS = 1 << 20
 
 
 def cluster_headlines(articles: DataFrame, part: int = PART) -> DataFrame:
@@ -41,24 +44,26 @@ def judge_groups(headlines: DataFrame, judge: Callable[[pd.DataFrame], list[str
 def parse_groups(replies: DataFrame) -> DataFrame:
     """(topic_key, group_pos, member_pos, id, usable) of every integer in a reply's list of lists.
 
+    Replies: (topic_key, reply), with `part` if a topic's headlines were judged in parts; then the groups
+    of one part follow those of the part before, and a topic is usable if all its parts are.
     A reply that is no list, or whose list holds an element that can't be gone through (a number,
-    true, null), is not usable; it has one row without an id. Members that are no integers are
-    left out one by one; a reply without any member has one usable row without an id.
+    true, null), is not usable; its topic has one row without an id. Members that are no integers are
+    left out one by one; a topic without any member has one usable row without an id.
     """
-    parsed = replies.select("topic_key", F.try_parse_json(groups_json(F.col("reply"))).alias("v"))
-    parsed = parsed.withColumn("kind", F.schema_of_variant("v"))
-    lists = parsed.where("kind like 'ARRAY%'")
-    lists.createOrReplaceTempView("__reply_lists")
-    spark = replies.sparkSession
-    outer = spark.sql("select topic_key, g.pos as group_pos, g.value as v, schema_of_variant(g.value) as kind from __reply_lists, lateral variant_explode_outer(v) as g")
-    spark.catalog.dropTempView("__reply_lists")
-    through = "coalesce(kind, '') like 'ARRAY%' or coalesce(kind, '') like 'OBJECT%' or coalesce(kind, '') = 'STRING' or group_pos is null"
-    usable = outer.groupBy("topic_key").agg(F.min(F.expr(through)).alias("usable"))
-    outer.where("kind like 'ARRAY%'").createOrReplaceTempView("__reply_groups")
-    members = spark.sql("select topic_key, group_pos, m.pos as member_pos, try_variant_get(m.value, '$', 'bigint') as id from __reply_groups, lateral variant_explode(v) as m where schema_of_variant(m.value) = 'BIGINT'")
-    spark.catalog.dropTempView("__reply_groups")
-    state = parsed.select("topic_key", (F.coalesce(F.col("kind"), F.lit("")).like("ARRAY%") | F.coalesce(F.col("kind"), F.lit("")).like("OBJECT%") | (F.coalesce(F.col("kind"), F.lit("")) == "STRING")).alias("list"))
-    state = state.join(usable, "topic_key", "left").select("topic_key", (F.col("list") & F.coalesce("usable", F.lit(True))).alias("usable"))
+    spark, name = replies.sparkSession, f"replies_{uuid.uuid4().hex}"
+    part = F.col("part").cast("long") if "part" in replies.columns else F.lit(0).cast("long")
+    parsed = replies.select("topic_key", part.alias("part"), F.try_parse_json(groups_json(F.col("reply"))).alias("v"))
+    parsed = parsed.withColumn("kind", F.coalesce(F.schema_of_variant("v"), F.lit("")))
+    parsed.where("kind like 'ARRAY%'").createOrReplaceTempView(name)
+    outer = spark.sql(f"select topic_key, part, part * {PART_GROUPS} + g.pos as group_pos, g.value as v, coalesce(schema_of_variant(g.value), '') as kind from {name}, lateral variant_explode_outer(v) as g")
+    spark.catalog.dropTempView(name)
+    through = "kind like 'ARRAY%' or kind like 'OBJECT%' or kind = 'STRING' or group_pos is null"
+    whole = outer.groupBy("topic_key").agg(F.min(F.expr(through)).alias("whole"))
+    outer.where("kind like 'ARRAY%'").createOrReplaceTempView(name)
+    members = spark.sql(f"select topic_key, group_pos, m.pos as member_pos, try_variant_get(m.value, '$', 'bigint') as id from {name}, lateral variant_explode(v) as m where schema_of_variant(m.value) = 'BIGINT'")
+    spark.catalog.dropTempView(name)
+    lists = parsed.groupBy("topic_key").agg(F.min(F.expr("kind like 'ARRAY%' or kind like 'OBJECT%' or kind = 'STRING'")).alias("list"))
+    state = lists.join(whole, "topic_key", "left").select("topic_key", (F.col("list") & F.coalesce("whole", F.lit(True))).alias("usable"))
     return state.join(members, "topic_key", "left").select("topic_key", "group_pos", "member_pos", F.when(F.col("usable"), F.col("id")).alias("id"), "usable")
 
 

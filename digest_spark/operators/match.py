@@ -39,7 +39,7 @@ def match_topics(articles: DataFrame, topics: DataFrame, mode: str = "any", *, b
     if wanted.limit(broadcast_topics + 1).count() <= broadcast_topics:
         there = F.contains(F.concat(F.lit(" "), "words", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
         return sought.join(F.broadcast(wanted), (F.col("alang") == F.col("lang")) & there).select("term", "lang", "article_pos").distinct()
-    sizes = sorted(r[0] for r in wanted.select(F.size(F.split("phrase", " "))).distinct().limit(1000).collect())
+    sizes = sorted(r[0] for r in wanted.select(F.size(F.split("phrase", " "))).distinct().toLocalIterator())
     tokens = sought.select("article_pos", "alang", F.split("words", " ").alias("w"))
 
     def grams_of(n: int) -> Column:

@@ -60,7 +60,7 @@ def load_dictionaries(spark: SparkSession, folder: str, lang_map: DataFrame, nam
     A code's dictionary is folder/name-code.txt; one without a file has the base dictionary, folder/name.txt.
     """
     base = read_mapping(spark, f"{folder}/{name}.txt")
-    codes = sorted({r[0] for r in lang_map.select("lang_code").distinct().limit(10_000).collect()} | {BASE_LANGUAGE})
+    codes = sorted({r[0] for r in lang_map.select("lang_code").distinct().toLocalIterator()} | {BASE_LANGUAGE})
     out = None
     for code in codes:
         path = f"{folder}/{name}-{code}.txt"

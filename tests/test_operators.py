@@ -99,6 +99,33 @@ def test_reply_groups(spark):
     assert of("single") == [(0, 0, 0)]
 
 
+def test_replies_to_two_parts(spark):
+    articles = spark.createDataFrame([("t", i, t, "s") for i, t in enumerate(["aa", "bbbb", "c", "dddd", "e"])] + [("u", i, "xy"[i], "s") for i in range(2)], "topic_key string, pos long, title string, summary string")
+    heads = cluster.cluster_headlines(articles, part=2)
+    assert sorted((r["topic_key"], r["part"], r["n"]) for r in heads.collect()) == [("t", 0, 2), ("t", 1, 2), ("t", 2, 1), ("u", 0, 2)]
+    replies = spark.createDataFrame([("t", 0, "[[0, 1]]"), ("t", 1, "[[3], [2]]"), ("t", 2, "[[4]]"), ("u", 0, "broken [[0,")], "topic_key string, part long, reply string")
+    got = cluster.cluster_hybrid(articles, replies).collect()
+    assert sorted((r["cluster_pos"], r["member_pos"], r["pos"]) for r in got if r["topic_key"] == "t") == [(0, 0, 1), (0, 1, 0), (1, 0, 3), (2, 0, 2), (3, 0, 4)]
+    assert sorted(r["pos"] for r in got if r["topic_key"] == "u") == [0, 1]
+    one_bad = replies.where("part != 1").union(spark.createDataFrame([("t", 1, "null")], replies.schema))
+    assert {r["usable"] for r in cluster.parse_groups(one_bad).where("topic_key = 't'").collect()} == {False}
+
+
+def test_phrases_of_many_lengths(spark):
+    text = " ".join(f"w{i}" for i in range(1100))
+    topics = [(" ".join(f"w{i}" for i in range(n)), "en") for n in (1, 2, 999, 1001, 1100)] + [("w1 w0", "en")]
+    got = match.match_topics(spark.createDataFrame([(1, "x", text, "en")], "article_pos long, title string, description string, lang string"), spark.createDataFrame(topics, "term string, lang string"), broadcast_topics=0)
+    assert sorted(len(r["term"].split()) for r in got.collect()) == [1, 2, 999, 1001, 1100]
+
+
+def test_repeated_urls_give_one_result(spark):
+    rows = spark.createDataFrame([(1, "https://news.google.com/1", "d" * 90)], "article_pos long, url string, description string")
+    lookup = spark.createDataFrame([("https://news.google.com/1", f"https://b/{k}") for k in (3, 1, 2)], "url string, final_url string")
+    assert [r["link"] for r in enrich.resolve_urls(rows, lookup).collect()] == ["https://b/1"]
+    pages = spark.createDataFrame([("https://b/1", f"<p>{c * 400}</p>", "text/html") for c in "zyx"], "url string, html string, content_type string")
+    assert [r["text"][0] for r in enrich.page_texts(pages).collect()] == ["x"]
+
+
 def test_enrichment(spark):
     page = "<p>" + "x" * 400 + "</p>"
     articles = spark.createDataFrame([(1, "https://a/1", None), (2, "https://news.google.com/2", "d" * 81), (3, "https://news.google.com/3", "d" * 81), (4, "https://a/4", "short")], "article_pos long, url string, description string")
