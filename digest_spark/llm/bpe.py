@@ -156,10 +156,12 @@ def bpe_round_trip(
     n_tokens long; ids array<int>; decoded string; ids_sha256 and decoded_sha256 (lowercase hex of
     the ids as little-endian unsigned 32-bit integers, and of the decoded UTF-8 text).
     Null texts count as empty and have no ids. Rows are handled one by one, so repeated rows give
-    repeated results; an empty table gives no rows. Other columns are not read. Nothing is
+    repeated results; an empty table gives no rows. Other columns are not read, and those named
+    as the outputs are left out. Nothing is
     shuffled; a text of any length is coded in fragments, and a batch holds about BATCH_BYTES.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER_FILE)
+    keep = tuple(c for c in keep if c not in outputs)
     kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     own = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
     schema = T.StructType([own.schema[c] for c in keep] + [T.StructField(c, kinds[c]) for c in outputs])

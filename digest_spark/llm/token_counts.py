@@ -92,9 +92,10 @@ def token_counts(docs: DataFrame, text: str = "text", *, keep: tuple[str, ...] =
     """Each row's columns `keep`, with n_bytes (UTF-8) and n_tokens of its text.
 
     Null texts count as empty. Every row is counted by itself, repeated ones too; an empty table
-    gives no rows; other columns are not read. Only lengths leave the Arrow function. No shuffle.
+    gives no rows; other columns are not read. Columns of docs named as those made here are left out. Only lengths leave the Arrow function. No shuffle.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER_FILE)
+    keep = tuple(c for c in keep if c not in ("n_bytes", "n_tokens"))
     own = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
     schema = T.StructType([*[own.schema[c] for c in keep], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 

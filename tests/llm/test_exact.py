@@ -45,6 +45,13 @@ def test_bpe_is_the_library(spark, docs, name):
         assert (counts[i]["n_tokens"], counts[i]["n_bytes"]) == (len(ids), len((t or "").encode()))
 
 
+def test_clashing_columns_are_left_out(spark, docs):
+    df = docs.withColumn("n_tokens", F.lit("x")).withColumn("ids", F.lit("y"))
+    assert bpe.bpe_round_trip(df, keep=("doc_id", "ids", "n_tokens")).columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    assert dict(token_counts.token_counts(df, keep=("doc_id", "n_tokens")).dtypes)["n_tokens"] == "bigint"
+    assert bpe.bpe_round_trip(df.limit(0), keep=("doc_id",)).count() == token_counts.token_counts(df.limit(0), keep=("doc_id",)).count() == 0
+
+
 def test_token_counts_by_sentencepiece(spark, docs):
     import sentencepiece
 
