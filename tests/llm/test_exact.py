@@ -245,3 +245,74 @@ def test_against_sql(spark, name):
     columns = sorted(want.columns)
     got = QUERIES[name](spark, sf).select(*columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.select(", ".join(columns)).fetchall()))
+
+
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def edited(rng, words, changes):
+    out = list(words)
+    for at in rng.choice(len(out), changes, replace=False):
+        out[at] = f"new{rng.integers(10**9)}"
+    return out
+
+
+def test_near_copies_are_caught_and_others_left_alone(spark):
+    rng = np.random.default_rng(3)
+    near, far, texts = [], [], []
+    for n in (40, 80, 150, 400):
+        for _ in range(30):
+            base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+            for changes, to in ((max(1, n // 60), near), (n // 5, far)):
+                a, b = " ".join(base), " ".join(edited(rng, base, changes))
+                x, y = shingle_set(a), shingle_set(b)
+                to.append((len(texts), len(texts) + 1, len(x & y) / len(x | y)))
+                texts += [a + f" {n}", b + f" {n}"]
+                base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+    root = {r["doc_id"]: r["root"] for r in simhash.near_copies(documents(spark, texts)).collect()}
+    close = [(a, b) for a, b, j in near if j >= 0.85]
+    assert len(close) > 40
+    assert sum(root[a] == root[b] for a, b in close) >= 0.95 * len(close)
+    assert max(j for _, _, j in far) < 0.6
+    assert sum(root[a] == root[b] for a, b, _ in far) <= 0.02 * len(far)
+    assert len({root[a] for a, _, _ in near + far}) == len(near + far)
+
+
+@pytest.mark.parametrize("tile", [4, 512])
+def test_near_copies_link_all_pairs_of_a_bucket(spark, tile):
+    rng = np.random.default_rng(4)
+    texts = [None, "", "one", "one two three", "ONE two  three"]
+    base = [f"w{x}" for x in rng.integers(0, 900, 120)]
+    for _ in range(60):
+        texts.append(" ".join(edited(rng, base, int(rng.integers(1, 7)))))
+    for _ in range(15):
+        base = edited(rng, base, 3)  # a chain that leads away
+        texts.append(" ".join(base))
+    fp, least = simhash.sketches([(t or "").encode() for t in texts], 5, 42, 4, 12)
+    bits = np.unpackbits(fp.view(np.uint8).reshape(len(texts), -1), axis=1)
+    pairs = []
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = any((least[i, 2 * t : 2 * t + 2] == least[j, 2 * t : 2 * t + 2]).all() for t in range(6))
+            if shared and (bits[i] != bits[j]).sum() <= simhash.WIDE_RADIUS:
+                pairs.append((i, j))
+    want = joined(pairs, range(len(texts)))
+    rows = simhash.near_copies(documents(spark, texts), tile=tile).collect()
+    got = {r["doc_id"]: r["root"] for r in rows}
+    groups = {}
+    for i, r in got.items():
+        groups.setdefault(r, []).append(i)
+    assert got.keys() == want.keys()
+    assert {i: min(groups[r]) for i, r in got.items()} == want
+
+
+def test_near_copies_of_empty_tables_clashes_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long, "en", "s", 0), (2, long + " more", "en", "s", 0), (None, None, None, None, None), (None, " ", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("root", F.lit(1)).withColumn("node", F.lit("x")).withColumn("keys", F.lit(2)).withColumn("text_key", F.lit(3))
+    kept = simhash.keep_one_per_group(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "None"]
+    assert simhash.keep_one_per_group(df.limit(0)).count() == 0
