@@ -275,8 +275,9 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     Two documents meet in a bucket if one of `tables` pairs of MinHash values of their shingles is
     equal. At first each is compared with the least of its buckets. Where a bucket then holds
     several groups, the documents outside its largest group are compared with all of it, in tiles.
-    So a large group of near copies is never compared with itself pair by pair. Nulls, repeats and
-    other columns are as in near_duplicates.
+    So what the first step linked is not compared with itself again; a large bucket that it leaves in
+    many groups costs time by the square of its size, but no task holds it. Nulls, repeats and other
+    columns are as in near_duplicates.
     """
     own = docs.select(docs[doc_id].alias("doc_id"), text_key(docs[text]).alias("text_key"), docs[text].alias("__text"))
     f = [f"f{i}" for i in range(lanes)]
