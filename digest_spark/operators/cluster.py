@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from digest_spark.functions.similarity import is_similar
+from digest_spark.functions.similarity import LONG, PAIRS, Titles
 from digest_spark.functions.text import groups_json, normalize_title
 from digest_spark.operators.match import ordinals
 from digest_spark.operators.triage import ask
@@ -95,22 +95,30 @@ def cluster_from_groups(articles: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def greedy(titles: list[str]) -> list[list[int]]:
-    """Groups of places: the first unused title leads, and takes the later unused ones that are similar to it."""
-    matchers: dict[str, SequenceMatcher] = {}
-    for t in titles:
-        if t not in matchers:
-            matchers[t] = SequenceMatcher(None, "", t)  # indexes the candidate once
-    left, groups = list(range(len(titles))), []
-    while left:
-        leader, *rest = left
-        verdict: dict[str, bool] = {}
-        group, left = [leader], []
-        for j in rest:
-            t = titles[j]
-            if t not in verdict:
-                verdict[t] = is_similar(matchers[t], titles[leader])
-            (group if verdict[t] else left).append(j)
-        groups.append(group)
+    """Groups of places: the first unused title leads, and takes the later unused ones that are similar to it.
+
+    Copies of a title that is not LONG are similar to each other and to the same leaders, so they are one.
+    The next titles are compared with all later ones at once, as if each led.
+    """
+    places: dict[str | int, list[int]] = {}
+    for i, t in enumerate(titles):
+        places.setdefault(t if len(t) < LONG else i, []).append(i)
+    own = list(places.values())
+    book = Titles([titles[x[0]] for x in own])
+    left, groups = np.arange(len(own)), []
+    while left.size:
+        heads = min(left.size, max(1, PAIRS // left.size))
+        lead, later = np.nonzero(np.arange(left.size) > np.arange(heads)[:, None])
+        alike = np.zeros((heads, left.size), bool)
+        alike[lead, later] = book.similar(left[lead], left[later])
+        used = np.zeros(left.size, bool)
+        for k in range(heads):
+            if not used[k]:
+                alike[k, k] = True
+                group = alike[k] & ~used
+                used |= group
+                groups.append(sorted(i for unit in left[group] for i in own[unit]))
+        left = left[~used]
     return groups
 
 
@@ -129,23 +137,20 @@ def cluster_small(articles: DataFrame) -> DataFrame:
 def similar_pairs(titles: DataFrame, tile: int = TILE) -> DataFrame:
     """(topic_key, i, j), i < j: similar pairs of (topic_key, pos, norm), compared tile by tile.
 
-    Each pair of position ranges of a topic is a task's group, so the work on one topic spreads.
+    Each pair of ranges of a topic's list is a task's group, so the work on one topic spreads.
     """
-    from_range = F.floor(F.col("pos") / tile).cast("long")
-    spans = titles.groupBy("topic_key").agg(F.max(from_range).alias("last"))
-    placed = titles.join(small(spans), "topic_key").withColumn("r", from_range).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    from_range = F.floor(F.col("ordinal") / tile).cast("long")
+    ranged = ordinals(titles, "topic_key", "pos").select("topic_key", "pos", "norm", from_range.alias("r"))
+    spans = ranged.groupBy("topic_key").agg(F.max("r").alias("last"))
+    placed = ranged.join(small(spans), "topic_key").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     tiled = placed.select("topic_key", F.least("r", "o").alias("a"), F.greatest("r", "o").alias("b"), "r", "pos", "norm")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
-        a, b = part["a"].iloc[0], part["b"].iloc[0]
-        leaders = part[part["r"] == a]
-        found = []
-        leads = list(zip(leaders["pos"], leaders["norm"], strict=True))
-        for j, t in part[part["r"] == b][["pos", "norm"]].itertuples(index=False):
-            matcher = SequenceMatcher(None, "", t)
-            found += [(part["topic_key"].iloc[0], i, j) for i, lead in leads if i < j and is_similar(matcher, lead)]
-        return pd.DataFrame(found, columns=["topic_key", "i", "j"])
+        pos, of, book = part["pos"].to_numpy(), part["r"].to_numpy(), Titles(part["norm"].tolist())
+        i, j = np.nonzero((of == part["a"].iloc[0])[:, None] & (of == part["b"].iloc[0]) & (pos[:, None] < pos))
+        alike = book.similar(i, j)
+        return pd.DataFrame({"topic_key": part["topic_key"].iloc[0], "i": pos[i[alike]], "j": pos[j[alike]]})
 
     return tiled.groupBy("topic_key", "a", "b").applyInPandas(run, "topic_key string, i long, j long")
 
@@ -153,12 +158,16 @@ def similar_pairs(titles: DataFrame, tile: int = TILE) -> DataFrame:
 def cluster_large(articles: DataFrame, tile: int = TILE) -> DataFrame:
     """The same greedy clusters by rounds over the table of similar pairs.
 
-    An article whose earlier similar articles are all settled as followers leads; one with an
-    earlier similar leader follows. Each round settles all articles that it can and is written.
-    In the end a follower joins its first similar leader.
+    Copies of a title that is not LONG are one, at the first one's place. A title whose earlier
+    similar titles are all settled as followers leads; one with an earlier similar leader follows.
+    Each round settles all titles that it can and is written. In the end a follower joins its first
+    similar leader.
     """
-    pairs = written(similar_pairs(articles, tile))
-    open_rows, open_pairs, leaders = written(articles.select("topic_key", "pos")), pairs, None
+    alone = F.when(F.length("norm") >= LONG, F.col("pos"))
+    firsts = articles.groupBy("topic_key", "norm", alone.alias("alone")).agg(F.min("pos").alias("first"))
+    firsts = written(firsts)
+    pairs = written(similar_pairs(firsts.select("topic_key", F.col("first").alias("pos"), "norm"), tile))
+    open_rows, open_pairs, leaders = written(firsts.select("topic_key", F.col("first").alias("pos"))), pairs, None
     while not open_rows.isEmpty():
         held = open_pairs.select("topic_key", F.col("j").alias("pos")).distinct()
         lead = written(open_rows.join(held, ["topic_key", "pos"], "left_anti"))
@@ -171,11 +180,13 @@ def cluster_large(articles: DataFrame, tile: int = TILE) -> DataFrame:
         return articles.select("topic_key", F.lit(0).cast("long").alias("cluster_pos"), F.lit(0).cast("long").alias("member_pos"), "pos")
     leaders = written(leaders)
     joined = pairs.join(leaders.withColumnRenamed("pos", "i"), ["topic_key", "i"], "left_semi").join(leaders.withColumnRenamed("pos", "j"), ["topic_key", "j"], "left_anti")
-    members = joined.groupBy("topic_key", F.col("j").alias("pos")).agg(F.min("i").alias("lead")).select("topic_key", "lead", "pos")
-    members = members.union(leaders.select("topic_key", F.col("pos"), F.col("pos")))
+    led = joined.groupBy("topic_key", F.col("j").alias("first")).agg(F.min("i").alias("lead")).select("topic_key", "lead", "first")
+    led = led.union(leaders.select("topic_key", F.col("pos"), F.col("pos")))
+    same = articles.withColumn("alone", alone).alias("x").join(firsts.alias("y"), (F.col("x.topic_key") == F.col("y.topic_key")) & (F.col("x.norm") == F.col("y.norm")) & F.col("x.alone").eqNullSafe(F.col("y.alone")))
+    members = same.select("x.topic_key", "x.pos", "y.first").join(led, ["topic_key", "first"]).select(F.struct("topic_key", "lead").alias("cluster"), "pos")
     numbers = ordinals(leaders, "topic_key", "pos").select("topic_key", F.col("pos").alias("lead"), F.col("ordinal").alias("cluster_pos"))
-    place = F.row_number().over(Window.partitionBy("topic_key", "lead").orderBy("pos")) - 1
-    return members.withColumn("member_pos", place.cast("long")).join(numbers, ["topic_key", "lead"]).select("topic_key", "cluster_pos", "member_pos", "pos")
+    placed = ordinals(members, "cluster", "pos").select("cluster.*", "pos", F.col("ordinal").alias("member_pos"))
+    return placed.join(numbers, ["topic_key", "lead"]).select("topic_key", "cluster_pos", "member_pos", "pos")
 
 
 def cluster_greedy(articles: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
