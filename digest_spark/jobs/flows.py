@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from digest_spark.operators import deliver, prefs
+from digest_spark.tables import written
 
 
 def profiles_from_responses(responses: DataFrame, lang_map: DataFrame, dictionary: DataFrame, default_language: str) -> DataFrame:
@@ -30,7 +31,7 @@ def single_events(articles: DataFrame) -> DataFrame:
 
 
 def digests(profiles: DataFrame, events: DataFrame, ledger: DataFrame, name: str, as_of: str) -> DataFrame:
-    """One digest for each recipient with events that nobody was sent before."""
-    new = deliver.new_events(events, ledger)
+    """One digest for each recipient with events that nobody was sent before. Profiles and new events are written once."""
+    profiles, new = written(profiles), written(deliver.new_events(events, ledger))
     chosen = deliver.dedupe_events(deliver.fan_out(profiles, new))
     return deliver.assemble_digest(profiles, chosen, deliver.render_events(new), name, as_of)

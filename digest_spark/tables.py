@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast if it has at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast if it has at most so many rows, of so many bytes as JSON.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +30,8 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for a broadcast if it is small enough, else as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for a broadcast if it is small enough, else as it is, to be joined by a shuffle. Measuring it is an action."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*")))) if df.columns else F.lit(0)
+    rows, size = df.limit(most + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df
