@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from digest_spark.functions.text import topic_key
+from digest_spark.operators.match import phrases, searched
 from digest_spark.operators.triage import drop_negative
+from digest_spark.tables import small
 
 DELAY = "24 hours"
 
@@ -23,6 +27,17 @@ def stream_new_articles(stream: DataFrame, topics: DataFrame, *, delay: str = DE
     return keyed.dropDuplicatesWithinWatermark(["topic_key", "link"]).select("topic_key", "link", "title", "published_ts")
 
 
+def match_stream(stream: DataFrame, topics: DataFrame, mode: str = "any") -> DataFrame:
+    """The stream's articles (title, description, lang, ...) with the topic_key of every topic whose phrase they hold.
+
+    An article that holds several phrases of a topic is given for each; stream_new_articles takes one.
+    The topics are measured once, when the stream is set up.
+    """
+    wanted = phrases(topics, mode).select(topic_key(F.col("term"), F.col("lang")).alias("topic_key"), F.col("lang").alias("__lang"), "phrase")
+    there = F.contains(F.concat(F.lit(" "), searched(F.col("title"), F.col("description")), F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    return stream.drop("topic_key").join(small(wanted), (F.col("lang") == F.col("__lang")) & there).drop("__lang", "phrase")
+
+
 def run_available(new: DataFrame, sink: Callable[[DataFrame], None], ledger: Callable[[], DataFrame], checkpoint: str) -> StreamingQuery:
     """Handles all that is there now: each micro-batch less the ledger's links goes to the sink.
 

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from digest_spark.functions.similarity import ratio
+from digest_spark.functions.similarity import Titles, ratio
 from digest_spark.operators import cluster, deliver, enrich, match, prefs, triage
+from digest_spark.tables import small
 
 
 def test_bad_stamp_fails_or_is_quarantined(spark):
@@ -71,6 +73,7 @@ def naive(titles):
 def test_greedy_clusters_agree(spark):
     rng = random.Random(3)
     topics = {f"t{k}|en": ["".join(rng.choice("abcd ef") for _ in range(rng.randrange(0, 14))) for _ in range(25)] for k in range(3)}
+    topics["t0|en"] += topics["t0|en"][:9]
     topics["long|en"] = ["x" * 250 + "abc", "x" * 250 + "abd", "", ""]
     rows = [(k, i, t) for k, v in topics.items() for i, t in enumerate(v)]
     df = spark.createDataFrame(rows, "topic_key string, pos long, title string")
@@ -81,6 +84,26 @@ def test_greedy_clusters_agree(spark):
     assert {tuple(r) for r in cluster.cluster_large(titles, tile=7).collect()} == expected
 
 
+def test_titles_in_blocks_agree_with_the_matcher():
+    rng = random.Random(5)
+    for _ in range(30):
+        letters = rng.choice(["ab", "abc ", "abcdefgh é日"])
+        titles = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 3, 10, 30, 60, 198, 199, 200, 230]))) for _ in range(15)]
+        titles += rng.choices(titles, k=5)
+        i, j = (x.ravel() for x in np.indices((20, 20)))
+        assert Titles(titles).similar(i, j).tolist() == [ratio(titles[a], titles[b]) > 0.5 for a, b in zip(i, j, strict=True)]
+        assert cluster.greedy(titles) == naive(titles)
+    assert cluster.greedy([]) == []
+    assert cluster.greedy(["a copy"] * 5000) == [list(range(5000))]
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * 1000) for i in range(10)], "k long, t string")
+    broadcast = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
+    assert broadcast(small(rows)) and broadcast(small(rows.where("k < 0")))
+    assert not broadcast(small(rows, most=9)) and not broadcast(small(rows, most_bytes=9000))
+
+
 def test_reply_groups(spark):
     replies = {
         "fenced": "```json\n[[0, 2], [1]]\n```", "mixed": '[[0, "1", 2.5], [9], []]', "none": "[]", "flat": "[0, 1]", "broken": "[[0,", "object": '{"a": 1}', "twice": "so [[0, 1], [1, 2]] done", "null": "null",
