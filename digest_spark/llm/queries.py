@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
+from digest_spark.llm.audit import OP13_SQL, op13_filter_audit
 from digest_spark.llm.bpe import op7_bpe_round_trip
 from digest_spark.llm.decontamination import OP5_SQL, op5_decontamination
 from digest_spark.llm.language import op3_language
@@ -22,9 +23,11 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
     "op5_decontamination": OP5_SQL,
     "op9_topk": OP9_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
