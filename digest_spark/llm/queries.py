@@ -11,6 +11,7 @@ from digest_spark.llm.substring_dedup import op4_substring_dedup
 from digest_spark.llm.token_counts import op6_token_counts
 from digest_spark.llm.topk import OP9_SQL, op9_topk
 from digest_spark.llm.toxicity import op10_toxicity
+from digest_spark.llm.vector_codes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -23,11 +24,13 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
+    "op12_vector_codes": op12_vector_codes,
     "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
     "op5_decontamination": OP5_SQL,
     "op9_topk": OP9_SQL,
+    "op12_vector_codes": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
