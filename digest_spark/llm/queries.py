@@ -5,6 +5,7 @@ from digest_spark.llm.bpe import op7_bpe_round_trip
 from digest_spark.llm.decontamination import OP5_SQL, op5_decontamination
 from digest_spark.llm.language import op3_language
 from digest_spark.llm.line_dedup import op8_line_dedup
+from digest_spark.llm.quality import op11_quality
 from digest_spark.llm.sharding import op1_sharding
 from digest_spark.llm.simhash import op2_simhash
 from digest_spark.llm.substring_dedup import op4_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
+    "op11_quality": op11_quality,
     "op12_vector_codes": op12_vector_codes,
     "op13_filter_audit": op13_filter_audit,
 }

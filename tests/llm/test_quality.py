@@ -1,0 +1,102 @@
+"""The quality model on held-out documents, its measures by brute force, and its interactions."""
+
+import math
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from digest_spark.llm import quality
+
+SF = "/root/testdata/sf0.01"
+TEXTS = [None, "", " \n", "The cat sat, the cat sat.\nThe END!! 42", "Élan vital ñu -- ñu -- ## $x", "x", "a b\tc\rd", "\x01\x02 ab", "word " * 20_000]
+
+
+def by_hand(text):
+    t = text or ""
+    words, runs = re.findall(r"[^\x20\x09-\x0D]+", t), re.findall(r"[^\W\d_]+", t.lower())
+    letters, chars, n = sum(c.isalpha() for c in t), len(t), len(words)
+    share = lambda a, b, none=0.0: a / b if b else none
+    pairs = list(zip(runs, runs[1:], strict=False))
+    high = sum(ord(c) > 127 for c in t)
+    return [
+        math.log1p(len(t.encode())), math.log1p(n), share(sum(c not in " \t\n\v\f\r" for c in t), n), share(len(re.findall("[A-Z]", t)), letters), share(len(re.findall("[0-9]", t)), chars), share(t.count("."), n),
+        share(t.count("!") + t.count("?"), n), share(sum(c in ",;:'\"()-" for c in t), n), share(sum(33 <= ord(c) < 127 and not c.isalnum() and c not in ".!?,;:'\"()-" for c in t), n), share(letters, chars), share(high, chars),
+        share(sum(len(r.encode()) <= 3 for r in runs), len(runs)), share(len(set(runs)), len(runs), 1.0), share(len(set(pairs)), len(pairs), 1.0), share(n, t.count("\n") + 1), share(sum(ord(c) < 32 and c not in "\t\n\v\f\r" for c in t), chars),
+    ]
+
+
+def test_measures_by_brute_force():
+    got = quality.measures(pa.array(TEXTS))
+    assert got.shape == (len(TEXTS), len(quality.MEASURES))
+    for text, row in zip(TEXTS, got, strict=True):
+        assert np.allclose(row, by_hand(text)), (text or "")[:20]
+    assert (quality.measures(pa.array(TEXTS[::-1]))[::-1] == got).all()
+    assert quality.measures(pa.array([], pa.string())).shape == (0, len(quality.MEASURES))
+
+
+def auc(y, score):
+    rank = np.empty(len(y))
+    rank[np.argsort(score, kind="stable")] = np.arange(1, len(y) + 1)
+    ones = y.sum()
+    return (rank[y == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones))
+
+
+def test_held_out(spark):
+    got = quality.op11_quality(spark, SF)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    rows = got.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert all(zlib.crc32(str(i).encode()) % 3 == 1 for i in rows["doc_id"])
+    assert auc(rows["quality"].to_numpy(), rows["score"].to_numpy()) > 0.97
+    assert (rows["predicted"] == rows["quality"]).mean() > 0.95
+
+
+def test_pairs_learn_what_single_measures_cannot():
+    x = np.random.default_rng(2).random((4000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.5)).astype(int)
+    alone, both = quality.fit(x, y, pairs=0), quality.fit(x, y)
+    assert both.pairs[0] == (0, 2)
+    right = lambda m: ((m.scores(x) >= 0.5) == y).mean()
+    assert right(alone) < 0.65 and right(both) > 0.97
+    one = quality.fit(x, (x[:, 1] > 0.3).astype(int))
+    assert right(one) < 0.65 and ((one.scores(x) >= 0.5) == (x[:, 1] > 0.3)).mean() > 0.97
+
+
+def test_scores_are_sums_of_bins():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 4)).round(1)
+    model = quality.fit(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(int))
+    for row, score in zip(x[:50], model.scores(x[:50]), strict=True):
+        at = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        z = model.bias + sum(t[a] for t, a in zip(model.tables, at, strict=True)) + sum(t[at[i], at[j]] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_trees_take_the_best_cuts():
+    g, h = np.array([1.0, 1, -1, -1, 2, 2]), np.ones(6)
+    leaves, gain = quality.shallow_tree(g, h)
+    assert gain > 0 and (np.diff(leaves) != 0).tolist() == [False, True, False, True, False]
+    square, gain = quality.crossed_tree(np.array([[3.0, -3], [-3, 3]]), np.ones((2, 2)))
+    assert gain > 0 and np.sign(square).tolist() == [[1, -1], [-1, 1]]
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (2, "again"), (2, "again")], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit("z") for c in ("score", "y", "h", "quality", "__x")})
+    labels = spark.createDataFrame([(0, 1), (2, 0), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    got = quality.quality(docs, labels, keep=("doc_id", "score")).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (0, 1)}) == 1  # null and empty are scored alike
+    assert {r["score"] for r in quality.quality(docs, labels.limit(0), keep=("doc_id",)).collect()} == {0.5}
+    assert quality.quality(docs.limit(0), labels, keep=("doc_id",)).count() == 0
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: sizes.append(len(y)))
+    docs = spark.createDataFrame([(3, "t") for _ in range(500)] + [(i, f"text {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, quality int")
+    quality.trained(docs, labels, "text", "doc_id", "quality", sample=40)
+    assert 0 < sizes[0] <= 40
