@@ -139,6 +139,12 @@ PAGES = """pp AS (
     SELECT page_id, url, html, CASE page_id % 10 WHEN 3 THEN 'application/pdf' WHEN 7 THEN 'image/PNG' ELSE 'text/html; charset=utf-8' END AS content_type,
            CASE WHEN page_id % 4 = 0 THEN 'https://news.google.com/rss/' || page_id ELSE url END AS raw FROM pages
 )"""
+#: What one reply of views.same_initial to a topic's whole list says.
+JUDGED = f"""{ARTICLES}, sized AS (
+    SELECT *, lower(substring(title, 1, 1)) AS event, count(*) OVER e AS n, min(pos) OVER e AS first FROM listed WINDOW e AS (PARTITION BY topic_key, lower(substring(title, 1, 1)))
+), judged AS (
+    SELECT topic_key, dense_rank() OVER (PARTITION BY topic_key ORDER BY n = 1, first) - 1 AS cluster_pos, row_number() OVER (PARTITION BY topic_key, event ORDER BY length(title) DESC, pos) - 1 AS member_pos, pos FROM sized
+)"""
 TITLE_SUFFIX = "CASE WHEN article_pos % 2 = 0 THEN title || ' - ' || publisher ELSE '  ' || title || ' | ' || description END"
 
 ORACLES = {
@@ -181,6 +187,11 @@ ORACLES = {
     "rank_members": f"""WITH {GROUPS} SELECT topic_key, group_pos, pos, row_number() OVER (PARTITION BY topic_key, group_pos ORDER BY length(t) DESC, member_pos) - 1 AS rank
         FROM (SELECT g.topic_key, group_pos, g.id AS pos, g.member_pos, substring(title, 1, CAST(80 - article_pos % 3 * 5 AS INTEGER)) AS t FROM groups g JOIN listed l ON l.topic_key = g.topic_key AND l.pos = g.id WHERE usable)""",
     "cluster_from_groups": f"WITH {GROUPS} SELECT * FROM clusters",
+    "cluster_judged": f"WITH {JUDGED} SELECT * FROM judged",
+    "judge_groups": f"""WITH {ARTICLES}, e AS (SELECT topic_key, CAST(pos // 200 AS BIGINT) AS part, lower(substring(title, 1, 1)) AS event, count(*) AS n, min(pos) AS first, string_agg(pos, ', ' ORDER BY pos) AS ids FROM listed GROUP BY ALL)
+        SELECT topic_key, part, '[' || coalesce(string_agg('[' || ids || ']', ', ' ORDER BY first) FILTER (WHERE n > 1), '') || ']' AS reply FROM e GROUP BY topic_key, part HAVING sum(n) > 1""",
+    "score_batches": f"WITH {BATCHED} SELECT topic_key, batch_no, array_to_string(generate_series(0, n - 1, 2), ', ') AS reply FROM lists",
+    "summarize": f"""WITH {ARTICLES} SELECT article_pos, trim(array_to_string(list_filter(string_split_regex(description, '\\s+'), lambda x: x <> '')[1:12], ' '), '"') AS summary FROM articles""",
     "enriched_articles": f"""WITH {BATCHED} SELECT topic_key, article_pos, title, url AS link, trim(trim(description), '"') AS summary, published_raw, publisher FROM approved""",
     "is_final_url": f"WITH {PAGES} SELECT page_id, NOT contains(raw, 'google.com') AS final FROM pp",
     "is_text_content": f"WITH {PAGES} SELECT page_id, NOT (contains(lower(content_type), 'application/pdf') OR contains(lower(content_type), 'image')) AS is_text FROM pp",

@@ -377,26 +377,35 @@ def cluster_hybrid(s, d):
     return cluster.cluster_hybrid(listed(s, d), group_replies(s, d))
 
 
-def first_words(row) -> str:
-    return " ".join(str(row["text"].iloc[0]).split()[:12])
+def first_words(rows) -> list[str]:
+    return [" ".join(str(x).split()[:12]) for x in rows["text"]]
+
+
+def every_second(rows) -> list[str]:
+    return [", ".join(str(i) for i in range(0, int(n), 2)) for n in rows["n"]]
 
 
 @query
 def score_batches(s, d):
     batches = triage.batch_headlines(batched(s, d))
-    return triage.score_batches(batches, lambda row: ", ".join(str(i) for i in range(0, int(row["n"].iloc[0]), 2)), tasks=4).select("topic_key", "batch_no", "reply")
+    return triage.score_batches(batches, every_second, tasks=4, batch=50).select("topic_key", "batch_no", "reply")
 
 
 @query
 def summarize(s, d):
     rows = views.articles(s, d).select("article_pos", F.col("description").alias("text"))
-    return enrich.summarize(rows, first_words, tasks=8).select("article_pos", "summary")
+    return enrich.summarize(rows, first_words, tasks=8, batch=200).select("article_pos", "summary")
 
 
 @query
 def judge_groups(s, d):
     heads = cluster.cluster_headlines(listed(s, d).withColumnRenamed("description", "summary"))
-    return cluster.judge_groups(heads, lambda row: str([[i] for i in range(int(row["n"].iloc[0]))]), tasks=4).select("topic_key", "part", "reply")
+    return cluster.judge_groups(heads, views.same_initial, tasks=4, batch=20).select("topic_key", "part", "reply")
+
+
+@query
+def cluster_judged(s, d):
+    return cluster.cluster_judged(listed(s, d).withColumnRenamed("description", "summary"), views.same_initial, part=8, tasks=8, batch=20)
 
 
 @query

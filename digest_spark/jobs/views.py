@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +90,14 @@ def group_reply(key):
     for k in range(4, -1, -1):
         out = F.when(case == k, texts[k]).otherwise(out)
     return out
+
+
+def same_initial(lists: pd.DataFrame) -> list[str]:
+    """Stands in for a same-event judge that is of one mind: headlines with the same initial are one event."""
+    replies = []
+    for lines in lists["lines"]:
+        events: dict[str, list[int]] = {}
+        for place, initial in re.findall(r"^\[(\d+)\] (.)", lines, re.MULTILINE):
+            events.setdefault(initial.lower(), []).append(int(place))
+        replies.append(json.dumps([x for x in events.values() if len(x) > 1]))
+    return replies

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from digest_spark.functions.similarity import LONG, PAIRS, Titles
 from digest_spark.functions.text import groups_json, normalize_title
+from digest_spark.operators.links import linked
 from digest_spark.operators.match import ordinals
-from digest_spark.operators.triage import ask
+from digest_spark.operators.replies import Judge, ask
 from digest_spark.tables import small, written
 
 GROUP_PROMPT = "Tópico: %s\nManchetes numeradas:\n%s\nJunte os números que tratam do mesmo fato numa lista JSON de listas."
@@ -25,20 +26,24 @@ GROUP_PROMPT = "Tópico: %s\nManchetes numeradas:\n%s\nJunte os números que tra
 ONE_TASK, TILE = 1_000, 250
 #: Headlines shown to the judge at once.
 PART = 200
-#: Groups of one part are numbered below this.
-PART_GROUPS = 1 << 20
+#: Groups of one part are numbered below PART_GROUPS, all groups of a topic below LEFTOVER.
+PART_GROUPS, LEFTOVER = 1 << 20, 1 << 62
 
 
 def cluster_headlines(articles: DataFrame, part: int = PART) -> DataFrame:
     """(topic_key, part, n, lines): a line `[i] title || summary start...` for each article, in parts of bounded size."""
+    return headline_lists(articles.withColumn("part", F.floor(F.col("pos") / part)))
+
+
+def headline_lists(rows: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] "), F.replace(F.coalesce("title", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(" || "), F.substring(F.coalesce("summary", F.lit("")), 1, 60), F.lit("...\n"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
-    return articles.groupBy("topic_key", F.floor(F.col("pos") / part).alias("part")).agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda x: x["line"]), "").alias("lines"))
+    return rows.groupBy("topic_key", "part").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda x: x["line"]), "").alias("lines"))
 
 
-def judge_groups(headlines: DataFrame, judge: Callable[[pd.DataFrame], list[str | None]], tasks: int | None = None) -> DataFrame:
-    """Headline lists of two articles or more with the same-event judge's replies."""
-    return ask(headlines.where("n > 1"), judge, tasks)
+def judge_groups(headlines: DataFrame, judge: Judge, tasks: int | None = None, **how) -> DataFrame:
+    """Headline lists of two articles or more with the same-event judge's replies; `how` goes to ask."""
+    return ask(headlines.where("n > 1"), judge, tasks, **how)
 
 
 def parse_groups(replies: DataFrame) -> DataFrame:
@@ -64,7 +69,7 @@ def parse_groups(replies: DataFrame) -> DataFrame:
     spark.catalog.dropTempView(name)
     lists = parsed.groupBy("topic_key").agg(F.min(F.expr("kind like 'ARRAY%' or kind like 'OBJECT%' or kind = 'STRING'")).alias("list"))
     state = lists.join(whole, "topic_key", "left").select("topic_key", (F.col("list") & F.coalesce("whole", F.lit(True))).alias("usable"))
-    return state.join(members, "topic_key", "left").select("topic_key", "group_pos", "member_pos", F.when(F.col("usable"), F.col("id")).alias("id"), "usable")
+    return state.join(members, "topic_key", "left").select("topic_key", F.col("group_pos").cast("long").alias("group_pos"), F.col("member_pos").cast("long").alias("member_pos"), F.when(F.col("usable"), F.col("id")).alias("id"), "usable")
 
 
 def rank_members(members: DataFrame) -> DataFrame:
@@ -73,6 +78,67 @@ def rank_members(members: DataFrame) -> DataFrame:
     return members.withColumn("rank", F.row_number().over(order) - 1)
 
 
+def leaders(articles: DataFrame, groups: DataFrame, part: int = PART) -> DataFrame:
+    """(topic_key, node, pos, title, summary): what a topic that was judged in parts is compared by.
+
+    A node is a group of one part, standing for it its principal article, or an article in no group
+    (node: LEFTOVER + pos). Topics with one part, or without usable replies, have none.
+    """
+    parted = articles.groupBy("topic_key").agg(F.max("pos").alias("last")).where(F.col("last") >= part).select("topic_key")
+    usable = groups.where("usable").join(parted, "topic_key", "left_semi")
+    own = articles.select("topic_key", "pos", "title", "summary").join(usable.select("topic_key").distinct(), "topic_key", "left_semi")
+    members = usable.where("id is not null").select("topic_key", "group_pos", "member_pos", F.col("id").alias("pos")).join(own, ["topic_key", "pos"])
+    first = rank_members(members).where("rank = 0").select("topic_key", F.col("group_pos").alias("node"), "pos", "title", "summary")
+    alone = own.join(members.select("topic_key", "pos").distinct(), ["topic_key", "pos"], "left_anti")
+    return first.union(alone.select("topic_key", F.lit(LEFTOVER) + F.col("pos"), "pos", "title", "summary"))
+
+
+def leader_headlines(found: DataFrame, part: int = PART) -> DataFrame:
+    """(topic_key, part, n, lines): headline lists in which every two leaders of a topic meet.
+
+    Leaders are cut into blocks of half a part, and every two blocks share a list. So a topic with k
+    leaders takes about 2 (k / part)^2 lists, and that is what a judge who sees no more at once needs.
+    """
+    every = found.select("topic_key", "pos", "title", "summary").dropDuplicates(["topic_key", "pos"])
+    placed = ordinals(every, "topic_key", "pos").withColumn("block", F.floor(F.col("ordinal") / max(1, part // 2))).drop("ordinal")
+    blocks = placed.groupBy("topic_key").agg((F.max("block") + 1).alias("blocks"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    met = placed.join(small(blocks), "topic_key").withColumn("other", F.explode(other))
+    return headline_lists(met.withColumn("part", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")))
+
+
+def merge_parts(groups: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
+    """parse_groups' rows with the groups of different parts merged that the second replies link.
+
+    found: leaders' rows; links: parse_groups' rows of the replies to leader_headlines. Links carry over:
+    if a and b, and b and c, are about one event, so are a and c. A merged group has all members, in order of their
+    places, so its principal is chosen anew; groups are ordered by their first article. A topic with a second
+    reply that is not usable is not usable.
+    """
+    bad = links.where("not usable").select("topic_key").distinct()
+    named = links.where("usable and id is not null").select("topic_key", "group_pos", F.col("id").alias("pos")).join(found.select("topic_key", "pos").distinct(), ["topic_key", "pos"], "left_semi")
+    head = named.groupBy("topic_key", "group_pos").agg(F.min("pos").alias("head"))
+    roots = linked(named.join(head, ["topic_key", "group_pos"]).select("topic_key", "pos", "head"), "topic_key", "pos", "head").withColumnRenamed("node", "pos")
+    placed = found.select("topic_key", "node", "pos").join(roots, ["topic_key", "pos"], "left")
+    # a cluster is known by its links' root, or as a group that nothing links
+    placed = placed.select("topic_key", "node", F.col("root").isNull().alias("apart"), F.coalesce("root", "node").alias("cluster"), "pos")
+    members = groups.where("usable and id is not null").select("topic_key", F.col("group_pos").alias("node"), "member_pos", F.col("id").alias("pos"))
+    own = placed.where(F.col("node") < LEFTOVER).drop("pos").join(members, ["topic_key", "node"])
+    once = own.where("not apart").select("topic_key", "apart", "cluster", F.col("pos").alias("member_pos"), "pos")
+    once = once.union(placed.where((F.col("node") >= LEFTOVER) & ~F.col("apart")).select("topic_key", "apart", "cluster", "pos", "pos")).distinct()
+    rows = written(once.union(own.where("apart").select("topic_key", "apart", "cluster", "member_pos", "pos")))
+    spots = rows.groupBy("topic_key", "apart", "cluster").agg(F.min("pos").alias("first"))
+    tie = F.row_number().over(Window.partitionBy("topic_key", "first").orderBy("apart", "cluster")) - 1
+    spots = spots.withColumn("group_pos", F.col("first") * PART_GROUPS + tie).drop("first")
+    merged = rows.join(spots, ["topic_key", "apart", "cluster"]).select("topic_key", "group_pos", "member_pos", F.col("pos").alias("id"), F.lit(True).alias("usable"))
+    topics = written(found.select("topic_key").distinct())
+    # topics whose articles are all alone keep a row that says that their replies are usable
+    none = topics.join(rows.select("topic_key").distinct(), "topic_key", "left_anti").select("topic_key", *[F.lit(None).cast("long").alias(c) for c in ("group_pos", "member_pos", "id")], F.lit(True).alias("usable"))
+    every = groups.join(topics, "topic_key", "left_anti").unionByName(merged).unionByName(none)
+    fine = every.join(bad, "topic_key", "left_anti")
+    return fine.unionByName(bad.select("topic_key", *[F.lit(None).cast("long").alias(c) for c in ("group_pos", "member_pos", "id")], F.lit(False).alias("usable")))
+
+
 def cluster_from_groups(articles: DataFrame, groups: DataFrame) -> DataFrame:
     """Clusters of the usable replies: their groups in order, then each article in no group by itself.
 
@@ -86,8 +152,8 @@ def cluster_from_groups(articles: DataFrame, groups: DataFrame) -> DataFrame:
     alone = own.select("topic_key", "pos").join(members.select("topic_key", "pos").distinct(), ["topic_key", "pos"], "left_anti")
     heads = ranked.select("topic_key", F.lit(0).alias("late"), F.col("group_pos").cast("long").alias("at")).distinct()
     heads = heads.union(alone.select("topic_key", F.lit(1), F.col("pos").cast("long")))
-    # one number line for groups and then leftovers, so that long topics are numbered in ranges
-    line = heads.withColumn("at2", F.col("late") * F.lit(1 << 40) + F.col("at"))
+    # one number line for groups and then leftovers
+    line = heads.withColumn("at2", F.col("late") * F.lit(LEFTOVER) + F.col("at"))
     places = ordinals(line, "topic_key", "at2").select("topic_key", "late", "at", F.col("ordinal").alias("cluster_pos"))
     rows = ranked.select("topic_key", F.lit(0).alias("late"), F.col("group_pos").cast("long").alias("at"), F.col("rank").cast("long").alias("member_pos"), "pos")
     rows = rows.union(alone.select("topic_key", F.lit(1), F.col("pos").cast("long"), F.lit(0).cast("long"), "pos"))
@@ -197,12 +263,28 @@ def cluster_greedy(articles: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     return out if hot.isEmpty() else out.unionByName(cluster_large(titles.join(hot, "topic_key", "left_semi")))
 
 
-def cluster_hybrid(articles: DataFrame, replies: DataFrame) -> DataFrame:
-    """Clusters by the replies that are usable; greedy ones for topics with another reply or none; a single article is its cluster."""
+def cluster_hybrid(articles: DataFrame, replies: DataFrame, second: Callable[[DataFrame], DataFrame] | None = None, part: int = PART) -> DataFrame:
+    """Clusters by the replies that are usable; greedy ones for topics with another reply or none; a single article is its cluster.
+
+    second: gives leader_headlines' lists (topic_key, part, n, lines) their replies; without it groups of
+    different parts of a topic are told apart. With it articles have a summary.
+    """
     groups = written(parse_groups(replies))
+    if second is not None:
+        found = written(leaders(articles, groups, part))
+        if not found.isEmpty():
+            links = written(parse_groups(second(leader_headlines(found, part))))
+            groups = written(merge_parts(groups, found, links))
     sizes = articles.groupBy("topic_key").count()
     judged = small(groups.where("usable").select("topic_key").distinct().join(sizes.where("count > 1"), "topic_key", "left_semi"))
     by_judge = cluster_from_groups(articles.join(judged, "topic_key", "left_semi"), groups.join(judged, "topic_key", "left_semi"))
     return by_judge.unionByName(cluster_greedy(articles.join(judged, "topic_key", "left_anti")))
 
 
+def cluster_judged(articles: DataFrame, judge: Judge, part: int = PART, tasks: int | None = None, **how) -> DataFrame:
+    """Clusters by a same-event judge who sees `part` headlines at once, of topics of any length.
+
+    Each part is judged, then the groups' leaders of different parts. Every reply is written before it is used.
+    """
+    asked = lambda lists: written(judge_groups(lists, judge, tasks, **how))
+    return cluster_hybrid(articles, asked(cluster_headlines(articles, part)), asked, part)

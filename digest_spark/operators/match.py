@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from digest_spark.functions.text import words_normalised
+from digest_spark.tables import small, written
 
 #: Topics are matched by a broadcast up to so many, beyond that by a join on word n-grams.
 BROADCAST_TOPICS = 2_000
 PAGE = 1_000
+#: Rows that one task numbers.
+MOST_ROWS = 1 << 20
 
 
 def recent(articles: DataFrame, as_of: str, period: str = "24 hours") -> DataFrame:
@@ -59,16 +62,39 @@ def group_by_topic(topics: DataFrame, hits: DataFrame, page: int = PAGE) -> Data
     return topics.select("topic_key").distinct().join(pages, "topic_key", "left").select("topic_key", F.coalesce("page", F.lit(0).cast("long")).alias("page"), F.coalesce("articles", none).alias("articles"))
 
 
-def ordinals(rows: DataFrame, key: str, pos: str, *, width: int = 1 << 16) -> DataFrame:
+def ordinals(rows: DataFrame, key: str, pos: str, *, most: int = MOST_ROWS) -> DataFrame:
     """The rows with `ordinal`, their place from 0 in the key's list by the integer `pos`.
 
-    Two passes: rows are counted by key and range of positions, the counts are summed up along
-    each key, and rows are numbered within their range alone. So a key's list is never sorted by
-    one task, however long it is. Equal positions follow each other in no set order.
+    Keys are counted first. One with up to `most` rows is numbered by a window; the lists of longer
+    ones are cut at quantiles of their positions, the parts counted and summed up along the key, and
+    rows are numbered within their part alone. So a key's list is never sorted by one task, however
+    long it is and however its positions are spread. Equal positions follow each other in no set order.
     """
-    cut = rows.withColumn("__range", F.floor(F.col(pos) / width))
-    sizes = cut.groupBy(key, "__range").count()
-    before = F.sum("count").over(Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(key, "__range", F.coalesce(before, F.lit(0)).alias("__start"))
-    inner = F.row_number().over(Window.partitionBy(key, "__range").orderBy(pos)) - 1
-    return cut.withColumn("__inner", inner).join(starts, [key, "__range"]).withColumn("ordinal", (F.col("__start") + F.col("__inner")).cast("long")).drop("__range", "__inner", "__start")
+    sizes = rows.groupBy(F.col(key).alias("__key")).count()
+    longest = sizes.agg(F.max("count")).first()[0] or 0
+    if longest <= most:
+        return rows.withColumn("ordinal", numbered(key, pos=pos))
+    long_lists = rows.join(small(sizes.where(F.col("count") > most).select("__key")), rows[key].eqNullSafe(F.col("__key")), "left_semi")
+    cut = parts_of(long_lists, key, pos, -(-2 * longest // most))
+    counts = written(cut.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__at")).count())
+    before = F.sum("count").over(Window.partitionBy("__key").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = small(counts.select("__key", "__at", F.coalesce(before, F.lit(0)).alias("__start")))
+    placed = cut.withColumn("__inner", numbered(key, "__part", pos=pos)).join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at")))
+    found = placed.withColumn("ordinal", F.col("__start") + F.col("__inner")).select(*rows.columns, "ordinal")
+    others = rows.join(small(sizes.where(F.col("count") > most).select("__key")), rows[key].eqNullSafe(F.col("__key")), "left_anti")
+    return others.withColumn("ordinal", numbered(key, pos=pos)).unionByName(found)
+
+
+def numbered(*keys: str, pos: str) -> Column:
+    return (F.row_number().over(Window.partitionBy(*keys).orderBy(pos)) - 1).cast("long")
+
+
+def parts_of(rows: DataFrame, key: str, pos: str, parts: int) -> DataFrame:
+    """The rows with `__part`, the number of quantiles of the key's positions (`parts` at most, written once) that a row's position exceeds."""
+    fractions = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    quantiles = rows.groupBy(F.col(key).alias("__key")).agg(F.percentile_approx(pos, fractions, max(10_000, 20 * parts)).alias("__cuts"))
+    cuts = written(quantiles.select("__key", F.array_distinct("__cuts").alias("__cuts")))
+    found = rows.join(small(cuts), rows[key].eqNullSafe(F.col("__key")))
+    part = F.size(F.filter("__cuts", lambda x: x < F.col(pos)))
+    # dealt by key and part, so that no task takes a whole key
+    return found.withColumn("__part", part).drop("__key", "__cuts").repartition(key, "__part")

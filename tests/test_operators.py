@@ -37,6 +37,21 @@ def test_ordinals_and_batches(spark):
     assert all(r["batch_no"] * 30 + r["idx"] == r["article_pos"] // 40_000 for r in got if r["topic_key"] == "a")
 
 
+@pytest.mark.parametrize("step", [1, 1 << 20, 9_999_999_967_654_321])
+def test_ordinals_of_long_lists(spark, step):
+    rng = random.Random(step)
+    positions = rng.sample(range(-400, 500), 700)
+    rows = [("hot", p * step) for p in positions] + [(k, p * step) for k in ("b", None) for p in positions[:40]]
+    df = spark.createDataFrame(rows, "topic_key string, at long").repartition(5)
+    expected = {(k, p): i for k in ("hot", "b", None) for i, p in enumerate(sorted(p for kk, p in rows if kk == k))}
+    for most in (30, 50, 10_000):
+        got = match.ordinals(df, "topic_key", "at", most=most)
+        assert got.columns == ["topic_key", "at", "ordinal"]
+        assert {(r["topic_key"], r["at"]): r["ordinal"] for r in got.collect()} == expected
+    parts = match.parts_of(df.where("topic_key = 'hot'"), "topic_key", "at", 28).groupBy("topic_key", "__part").count().collect()
+    assert len(parts) == 28 and max(r["count"] for r in parts) <= 50  # whatever the step
+
+
 def test_match_topics_both_ways(spark):
     articles = spark.createDataFrame([(1, "Safra de milho", "", "pt"), (2, "Novo SAF, no Brasil", "x", "pt"), (3, "saf", "sustainable aviation fuel", "en"), (4, None, None, "pt")], "article_pos long, title string, description string, lang string")
     topics = spark.createDataFrame([("SAF OR Sustainable Aviation Fuel", "pt"), ("SAF OR Sustainable Aviation Fuel", "en"), ("aviation fuel", "en")], "term string, lang string")
@@ -51,7 +66,7 @@ def test_failed_judge_leaves_no_reply(spark):
     def judge(row):
         if row["topic_key"].iloc[0] == "b":
             raise RuntimeError
-        return "1, 0, 9"
+        return ["1, 0, 9"]
 
     replies = triage.score_batches(rows, judge)
     assert {r["topic_key"]: r["reply"] for r in replies.collect()} == {"a": "1, 0, 9", "b": None}
