@@ -30,8 +30,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Marked for a broadcast if it is small enough, else as it is, to be joined by a shuffle. Measuring it is an action."""
+def fits(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast. Measuring it is an action."""
     size = F.sum(F.octet_length(F.to_json(F.struct("*")))) if df.columns else F.lit(0)
     rows, size = df.limit(most + 1).agg(F.count("*"), size).first()
-    return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df
+    return rows <= most and (size or 0) <= most_bytes
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for a broadcast if it is small enough, else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if fits(df, most, most_bytes) else df

@@ -152,8 +152,36 @@ def test_replies_to_two_parts(spark):
 def test_phrases_of_many_lengths(spark):
     text = " ".join(f"w{i}" for i in range(1100))
     topics = [(" ".join(f"w{i}" for i in range(n)), "en") for n in (1, 2, 999, 1001, 1100)] + [("w1 w0", "en")]
-    got = match.match_topics(spark.createDataFrame([(1, "x", text, "en")], "article_pos long, title string, description string, lang string"), spark.createDataFrame(topics, "term string, lang string"), broadcast_topics=0)
-    assert sorted(len(r["term"].split()) for r in got.collect()) == [1, 2, 999, 1001, 1100]
+    for limit in (0, 100):
+        got = match.match_topics(spark.createDataFrame([(1, "x", text, "en")], "article_pos long, title string, description string, lang string"), spark.createDataFrame(topics, "term string, lang string"), broadcast_topics=limit)
+        assert sorted(len(r["term"].split()) for r in got.collect()) == [1, 2, 999, 1001, 1100]
+
+
+def test_phrases_by_brute_force(spark):
+    rng = random.Random(8)
+    words = ["a", "a", "a", "b", "b", "c", "dd", "e"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 40]))) for _ in range(60)]
+    phrases = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 5, 25]))) for _ in range(80)] + [" ".join(t.split()[2:30]) for t in texts if len(t.split()) > 30] + ["a OR b", "!!", "a  !  B"]
+    articles = spark.createDataFrame([(i, t[:5], t[5:], rng.choice(["en", "de", None])) for i, t in enumerate(texts)], "article_pos long, title string, description string, lang string")
+    topics = spark.createDataFrame([(p, k) for p in phrases for k in ("en", "de")], "term string, lang string")
+    plain = lambda t: " " + " ".join(t.lower().replace("!", " ").split()) + " "
+    for mode in ("any", "phrase"):
+        split = (lambda t: t.split(" OR ")) if mode == "any" else (lambda t: [t])
+        expected = {(t, r["lang"], r["article_pos"]) for r in articles.collect() if r["lang"] for t in phrases if any(p in plain(f"{r['title']} {r['description']}") for x in split(t) if (p := plain(x)).strip())}
+        for limit in (0, 1000):
+            assert {tuple(r) for r in match.match_topics(articles, topics, mode, broadcast_topics=limit).collect()} == expected
+
+
+def test_frequent_words_are_shared_out(spark):
+    articles = spark.range(2000).selectExpr("id as article_pos", "'x' as title", "'the one' as description", "'en' as lang")
+    sought = articles.select("article_pos", F.col("lang").alias("alang"), F.split(match.searched(F.col("title"), F.col("description")), " ").alias("w"))
+    index = match.anchored(match.phrases(spark.createDataFrame([("the", "en"), ("the one", "en"), ("nowhere", "en")], "term string, lang string"), "any"), sought)
+    assert {r["term"]: r["freq"] > 500 for r in index.collect()} == {"the": True, "the one": True, "nowhere": False}
+    hits = match.shuffled(sought, index, share=500)
+    assert hits.groupBy("term").count().orderBy("term").collect() == [("the", 2000), ("the one", 2000)]
+    # the words that are not in the index do not pass the filter
+    passed = sought.select("alang", F.explode("w").alias("word")).where(match.bloom(index)).groupBy("word").count().collect()
+    assert {r["word"] for r in passed} == {"the", "one"}
 
 
 def test_repeated_urls_give_one_result(spark):
