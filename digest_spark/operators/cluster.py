@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,9 @@ from digest_spark.operators.replies import Judge, ask
 from digest_spark.tables import small, written
 
 GROUP_PROMPT = "Tópico: %s\nManchetes numeradas:\n%s\nJunte os números que tratam do mesmo fato numa lista JSON de listas."
-#: Topics with more articles are clustered by rounds over a table of similar pairs, in tiles.
-ONE_TASK, TILE = 1_000, 250
+#: Topics with more articles are clustered by rounds, which take so many of their titles at once (up to
+#: 1,000, Spark cuts a topic's list to its first in each task, before it is shuffled).
+ONE_TASK, BLOCK = 1_000, 1_000
 #: Headlines shown to the judge at once.
 PART = 200
 #: Groups of one part are numbered below PART_GROUPS, all groups of a topic below LEFTOVER.
@@ -160,17 +162,17 @@ def cluster_from_groups(articles: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(places, ["topic_key", "late", "at"]).select("topic_key", "cluster_pos", "member_pos", "pos")
 
 
-def greedy(titles: list[str]) -> list[list[int]]:
+def greedy(titles: list[str], book: Titles | None = None) -> list[list[int]]:
     """Groups of places: the first unused title leads, and takes the later unused ones that are similar to it.
 
     Copies of a title that is not LONG are similar to each other and to the same leaders, so they are one.
-    The next titles are compared with all later ones at once, as if each led.
+    The next titles are compared with all later ones at once, as if each led. book: of the different titles.
     """
     places: dict[str | int, list[int]] = {}
     for i, t in enumerate(titles):
         places.setdefault(t if len(t) < LONG else i, []).append(i)
     own = list(places.values())
-    book = Titles([titles[x[0]] for x in own])
+    book = book or Titles([titles[x[0]] for x in own])
     left, groups = np.arange(len(own)), []
     while left.size:
         heads = min(left.size, max(1, PAIRS // left.size))
@@ -188,6 +190,18 @@ def greedy(titles: list[str]) -> list[list[int]]:
     return groups
 
 
+def first_similar(book: Titles, leaders: np.ndarray, titles: np.ndarray) -> np.ndarray:
+    """For each title the number of the first leader that is similar to it, or -1; a title that has one is compared with no other."""
+    out, left, at = np.full(len(titles), -1), np.arange(len(titles)), 0
+    while left.size and at < len(leaders):
+        heads = leaders[at : at + max(1, PAIRS // left.size)]
+        alike = book.similar(np.repeat(heads, left.size), np.tile(titles[left], len(heads))).reshape(len(heads), left.size)
+        hit = alike.any(0)
+        out[left[hit]] = at + alike[:, hit].argmax(0)
+        left, at = left[~hit], at + len(heads)
+    return out
+
+
 def cluster_small(articles: DataFrame) -> DataFrame:
     """Greedy clusters of topics that fit one task."""
 
@@ -200,54 +214,73 @@ def cluster_small(articles: DataFrame) -> DataFrame:
     return articles.groupBy("topic_key").applyInPandas(run, "topic_key string, cluster_pos long, member_pos long, pos long")
 
 
-def similar_pairs(titles: DataFrame, tile: int = TILE) -> DataFrame:
-    """(topic_key, i, j), i < j: similar pairs of (topic_key, pos, norm), compared tile by tile.
+def block_leaders(block: DataFrame) -> DataFrame:
+    """(topic_key, pos, lead, compared) of a topic's next titles, clustered among themselves in one task."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pos")
+        pos, titles = part["pos"].to_numpy(), part["norm"].tolist()
+        book = Titles(titles)
+        lead = np.empty(len(pos), np.int64)
+        for group in greedy(titles, book):
+            lead[group] = pos[group[0]]
+        return pd.DataFrame({"topic_key": part["topic_key"].iloc[0], "pos": pos, "lead": lead, "compared": np.where(np.arange(len(pos)) == 0, book.compared, 0)})
 
-    Each pair of ranges of a topic's list is a task's group, so the work on one topic spreads.
+    return block.groupBy("topic_key").applyInPandas(run, "topic_key string, pos long, lead long, compared long")
+
+
+def led_titles(titles: DataFrame, leaders: DataFrame, chunk: int) -> DataFrame:
+    """(topic_key, pos, lead, compared): each title with the first of a few leaders of its topic that is similar to it, or null.
+
+    titles: (topic_key, pos, norm, ordinal). A topic's titles are dealt in chunks, to each of which its leaders come.
     """
-    from_range = F.floor(F.col("ordinal") / tile).cast("long")
-    ranged = ordinals(titles, "topic_key", "pos").select("topic_key", "pos", "norm", from_range.alias("r"))
-    spans = ranged.groupBy("topic_key").agg(F.max("r").alias("last"))
-    placed = ranged.join(small(spans), "topic_key").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    tiled = placed.select("topic_key", F.least("r", "o").alias("a"), F.greatest("r", "o").alias("b"), "r", "pos", "norm")
+    dealt = titles.select("topic_key", F.floor(F.col("ordinal") / chunk).alias("chunk"), F.lit(False).alias("leads"), "pos", "norm")
+    chunks = dealt.select("topic_key", "chunk").distinct()
+    shown = leaders.join(chunks, "topic_key").select("topic_key", "chunk", F.lit(True).alias("leads"), "pos", "norm")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        pos, of, book = part["pos"].to_numpy(), part["r"].to_numpy(), Titles(part["norm"].tolist())
-        i, j = np.nonzero((of == part["a"].iloc[0])[:, None] & (of == part["b"].iloc[0]) & (pos[:, None] < pos))
-        alike = book.similar(i, j)
-        return pd.DataFrame({"topic_key": part["topic_key"].iloc[0], "i": pos[i[alike]], "j": pos[j[alike]]})
+        part = part.sort_values(["leads", "pos"], ascending=[False, True])
+        pos, n = part["pos"].to_numpy(), int(part["leads"].sum())
+        book = Titles(part["norm"].tolist())
+        first = first_similar(book, np.arange(n), np.arange(n, len(pos)))
+        lead = pd.array(np.where(first < 0, 0, pos[np.maximum(first, 0)]), dtype="Int64")
+        lead[first < 0] = pd.NA
+        return pd.DataFrame({"topic_key": part["topic_key"].iloc[0], "pos": pos[n:], "lead": lead, "compared": np.where(np.arange(len(first)) == 0, book.compared, 0)})
 
-    return tiled.groupBy("topic_key", "a", "b").applyInPandas(run, "topic_key string, i long, j long")
+    return dealt.union(shown).groupBy("topic_key", "chunk").applyInPandas(run, "topic_key string, pos long, lead long, compared long")
 
 
-def cluster_large(articles: DataFrame, tile: int = TILE) -> DataFrame:
-    """The same greedy clusters by rounds over the table of similar pairs.
+def leader_rounds(titles: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """(topic_key, pos, lead) of different titles (topic_key, pos, norm), and how many pairs were compared for it.
 
-    Copies of a title that is not LONG are one, at the first one's place. A title whose earlier
-    similar titles are all settled as followers leads; one with an earlier similar leader follows.
-    Each round settles all titles that it can and is written. In the end a follower joins its first
-    similar leader.
+    A round takes each topic's next `block` open titles and clusters them among themselves; then all later open titles
+    are compared with the leaders that these gave, in their order and until one is similar. What is settled is
+    not compared again, so pairs of followers never are. Each round is written.
     """
+    open_ = written(ordinals(titles, "topic_key", "pos"))
+    told, compared, total = [], 0, open_.count()
+    while left := open_.count():
+        next_ = F.row_number().over(Window.partitionBy("topic_key").orderBy("pos"))
+        now = written(open_.withColumn("next", next_).where(F.col("next") <= block).drop("next"))
+        own = written(block_leaders(now.select("topic_key", "pos", "norm")))
+        heads = now.join(own.where("pos = lead").select("topic_key", "pos"), ["topic_key", "pos"], "left_semi").select("topic_key", "pos", "norm")
+        later = open_.join(own.select("topic_key", "pos"), ["topic_key", "pos"], "left_anti")
+        # as titles are settled, those that are left lie farther apart
+        found = written(led_titles(later, small(heads), block * (total // left)))
+        told += [own, found.where("lead is not null")]
+        compared += sum(x.agg(F.sum("compared")).first()[0] or 0 for x in (own, found))
+        open_ = written(open_.join(found.where("lead is null").select("topic_key", "pos"), ["topic_key", "pos"], "left_semi"))
+    none = titles.select("topic_key", "pos", F.col("pos").alias("lead")).limit(0)
+    return reduce(DataFrame.unionByName, [x.select("topic_key", "pos", "lead") for x in told], none), compared
+
+
+def cluster_large(articles: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The same greedy clusters by rounds, in which only leaders are compared with other titles."""
     alone = F.when(F.length("norm") >= LONG, F.col("pos"))
-    firsts = articles.groupBy("topic_key", "norm", alone.alias("alone")).agg(F.min("pos").alias("first"))
-    firsts = written(firsts)
-    pairs = written(similar_pairs(firsts.select("topic_key", F.col("first").alias("pos"), "norm"), tile))
-    open_rows, open_pairs, leaders = written(firsts.select("topic_key", F.col("first").alias("pos"))), pairs, None
-    while not open_rows.isEmpty():
-        held = open_pairs.select("topic_key", F.col("j").alias("pos")).distinct()
-        lead = written(open_rows.join(held, ["topic_key", "pos"], "left_anti"))
-        follow = open_pairs.join(lead.withColumnRenamed("pos", "i"), ["topic_key", "i"], "left_semi").select("topic_key", F.col("j").alias("pos")).distinct()
-        open_rows = written(open_rows.join(lead, ["topic_key", "pos"], "left_anti").join(follow, ["topic_key", "pos"], "left_anti"))
-        alive = open_pairs.join(open_rows.withColumnRenamed("pos", "i"), ["topic_key", "i"], "left_semi")
-        open_pairs = written(alive.join(open_rows.withColumnRenamed("pos", "j"), ["topic_key", "j"], "left_semi").select("topic_key", "i", "j"))
-        leaders = lead if leaders is None else leaders.union(lead)
-    if leaders is None:
-        return articles.select("topic_key", F.lit(0).cast("long").alias("cluster_pos"), F.lit(0).cast("long").alias("member_pos"), "pos")
-    leaders = written(leaders)
-    joined = pairs.join(leaders.withColumnRenamed("pos", "i"), ["topic_key", "i"], "left_semi").join(leaders.withColumnRenamed("pos", "j"), ["topic_key", "j"], "left_anti")
-    led = joined.groupBy("topic_key", F.col("j").alias("first")).agg(F.min("i").alias("lead")).select("topic_key", "lead", "first")
-    led = led.union(leaders.select("topic_key", F.col("pos"), F.col("pos")))
+    firsts = written(articles.groupBy("topic_key", "norm", alone.alias("alone")).agg(F.min("pos").alias("first")))
+    led, _ = leader_rounds(firsts.select("topic_key", F.col("first").alias("pos"), "norm"), block)
+    led = written(led.select("topic_key", "lead", F.col("pos").alias("first")))
+    leaders = led.where("lead = first").select("topic_key", F.col("lead").alias("pos"))
     same = articles.withColumn("alone", alone).alias("x").join(firsts.alias("y"), (F.col("x.topic_key") == F.col("y.topic_key")) & (F.col("x.norm") == F.col("y.norm")) & F.col("x.alone").eqNullSafe(F.col("y.alone")))
     members = same.select("x.topic_key", "x.pos", "y.first").join(led, ["topic_key", "first"]).select(F.struct("topic_key", "lead").alias("cluster"), "pos")
     numbers = ordinals(leaders, "topic_key", "pos").select("topic_key", F.col("pos").alias("lead"), F.col("ordinal").alias("cluster_pos"))

@@ -96,7 +96,20 @@ def test_greedy_clusters_agree(spark):
     expected = {(k, c, m, i) for k, v in topics.items() for c, g in enumerate(naive([norm[(k, i)] for i in range(len(v))])) for m, i in enumerate(g)}
     assert {tuple(r) for r in cluster.cluster_greedy(df).collect()} == expected
     titles = df.select("topic_key", "pos", cluster.normalize_title(F.col("title")).alias("norm"))
-    assert {tuple(r) for r in cluster.cluster_large(titles, tile=7).collect()} == expected
+    for block in (7, 1000):
+        assert {tuple(r) for r in cluster.cluster_large(titles, block).collect()} == expected
+    assert cluster.cluster_large(titles.limit(0)).count() == 0
+
+
+def test_only_leaders_are_compared(spark):
+    rng = random.Random(6)
+    kinds = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(12)]
+    varied = [k[:i] + rng.choice("0123456789") + k[i + 1 :] for k in kinds for i in rng.sample(range(60), 50)]
+    titles = list(dict.fromkeys(rng.sample(varied, len(varied))))
+    led, compared = cluster.leader_rounds(spark.createDataFrame([("t", i, t) for i, t in enumerate(titles)], "topic_key string, pos long, norm string"), 40)
+    expected = {i: g[0] for g in naive(titles) for i in g}
+    assert {r["pos"]: r["lead"] for r in led.collect()} == expected
+    assert compared < len(titles) ** 2 / 2 / 15, compared
 
 
 def test_titles_in_blocks_agree_with_the_matcher():
