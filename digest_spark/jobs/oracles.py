@@ -146,6 +146,33 @@ JUDGED = f"""{ARTICLES}, sized AS (
     SELECT topic_key, dense_rank() OVER (PARTITION BY topic_key ORDER BY n = 1, first) - 1 AS cluster_pos, row_number() OVER (PARTITION BY topic_key, event ORDER BY length(title) DESC, pos) - 1 AS member_pos, pos FROM sized
 )"""
 TITLE_SUFFIX = "CASE WHEN article_pos % 2 = 0 THEN title || ' - ' || publisher ELSE '  ' || title || ' | ' || description END"
+#: A run over clustered events: every second headline is relevant, a summary is the text's first twelve words, the same initial is the same event.
+RUN = f"""{PROFILES}, {BATCHED.strip()}, listed2 AS (
+    SELECT topic_key, title, url AS link, publisher, local_time, trim(array_to_string(list_filter(string_split_regex(description, '\\s+'), lambda x: x <> '')[1:12], ' '), '"') AS summary,
+           row_number() OVER (PARTITION BY topic_key ORDER BY batch_no, idx) - 1 AS pos
+    FROM batched WHERE idx % 2 = 0 AND length(description) > 80
+), sized AS (
+    SELECT *, lower(substring(title, 1, 1)) AS event, count(*) OVER e AS n, min(pos) OVER e AS first FROM listed2 WINDOW e AS (PARTITION BY topic_key, lower(substring(title, 1, 1)))
+), judged AS (
+    SELECT *, dense_rank() OVER (PARTITION BY topic_key ORDER BY n = 1, first) - 1 AS cluster_pos, row_number() OVER (PARTITION BY topic_key, event ORDER BY length(title) DESC, pos) - 1 AS member_pos FROM sized
+), also AS (
+    SELECT topic_key, cluster_pos, string_agg('<a href="' || link || '">' || publisher || '</a>', ', ' ORDER BY member_pos) AS also FROM judged WHERE member_pos > 0 GROUP BY ALL
+), events AS (
+    SELECT j.topic_key || '#' || j.cluster_pos AS event_id, j.topic_key, j.cluster_pos, link, '<section><h2><a href="' || link || '">' || title || '</a></h2><p>' || summary || '</p><p>Publicado em: ' || local_time || ' por <b>' || publisher || '</b></p>'
+           || coalesce('<p>Também visto em: ' || also || '</p>', '') || '</section>' AS item
+    FROM judged j LEFT JOIN also a ON a.topic_key = j.topic_key AND a.cluster_pos = j.cluster_pos WHERE member_pos = 0
+), fresh AS (
+    SELECT * FROM events WHERE link NOT IN (SELECT url FROM articles WHERE article_pos % 7 = 0)
+), quoted AS (
+    SELECT email, lang_pos, lang_code AS lang, regexp_extract_all(query_string, '"(.*?)"', 1) AS t FROM searches
+), profile_terms AS (
+    SELECT email, lang_pos, lang, unnest(t) AS term, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS term_pos FROM quoted
+), chosen AS (
+    SELECT email, link, min({{'l': lang_pos, 't': term_pos, 'c': cluster_pos}}) AS ord, arg_max(event_id, {{'l': lang_pos, 't': term_pos, 'c': cluster_pos}}) AS event_id
+    FROM profile_terms p JOIN fresh e ON e.topic_key = p.term || '|' || p.lang GROUP BY ALL
+), d AS (
+    SELECT c.email, count(*) AS n, string_agg(item, '' ORDER BY ord) AS body, string_agg(c.link, ' ' ORDER BY ord) AS links FROM chosen c JOIN fresh f ON f.event_id = c.event_id GROUP BY c.email
+)"""
 
 ORACLES = {
     "valid_responses": f"WITH {RESPONSES} SELECT response_seq, email, strftime(modified, '%Y-%m-%d %H:%M:%S') AS modified FROM all_responses WHERE email IS NOT NULL",
@@ -203,6 +230,8 @@ ORACLES = {
     "also_seen": f"""WITH {GROUPS}, m AS (SELECT c.*, CASE WHEN article_pos % 9 <> 0 THEN url END AS link, CASE WHEN article_pos % 8 <> 0 THEN publisher END AS publisher FROM clusters c JOIN listed l ON l.topic_key = c.topic_key AND l.pos = c.pos)
         SELECT topic_key, cluster_pos, coalesce(string_agg('<a href="' || coalesce(link, '#') || '">' || coalesce(publisher, 'Fonte') || '</a>', ', ' ORDER BY member_pos) FILTER (WHERE member_pos > 0), '') AS also FROM m GROUP BY ALL""",
     "render_items": f"WITH {EVENTS} SELECT event_id, item FROM items",
+    "digest_run": f"""WITH {RUN} SELECT email, 'AUTOMÁTICO | Boletim (02/01/2024)' AS subject, '<html><body><h1>Boletim: últimas 24h</h1><p>Suas preferências: ' || array_to_string(categories, ', ') || '</p>' || body || '<p>Termos filtrados: {", ".join(EXCLUDED_TITLE_WORDS)}.</p></body></html>' AS html,
+               CAST(n AS INTEGER) AS n_events, links FROM d JOIN people USING (email)""",
     "assemble_digest": f"""WITH {EVENTS}, d AS (SELECT email, count(*) AS n, string_agg(item, '' ORDER BY ord) AS body, string_agg(link, ' ' ORDER BY ord) AS links FROM chosen JOIN items USING (event_id) GROUP BY email)
         SELECT email, 'AUTOMÁTICO | Boletim (02/01/2024)' AS subject, '<html><body><h1>Boletim: últimas 24h</h1><p>Suas preferências: ' || array_to_string(categories, ', ') || '</p>' || body || '<p>Termos filtrados: {", ".join(EXCLUDED_TITLE_WORDS)}.</p></body></html>' AS html,
                CAST(n AS INTEGER) AS n_events, links FROM d JOIN people USING (email)""",
@@ -211,5 +240,8 @@ ORACLES = {
             SELECT topic_key, 1 AS a, 0 AS b, 0 AS c, 0 AS d FROM listed UNION ALL SELECT topic_key, 0, 1, 0, 0 FROM batched
             UNION ALL SELECT topic_key, 0, 0, 1, 0 FROM approved UNION ALL SELECT topic_key, 0, 0, 0, 1 FROM clusters WHERE member_pos = 0)
         SELECT topic_key, CAST(sum(a) AS BIGINT) AS raw, CAST(sum(b) AS BIGINT) AS kept, CAST(sum(c) AS BIGINT) AS approved, CAST(sum(d) AS BIGINT) AS clusters FROM t GROUP BY ROLLUP (topic_key)""",
+    "unsent_events": f"WITH {EVENTS} SELECT event_id, topic_key, link FROM fresh",
+    "match_stream": f"""WITH {ANY} SELECT DISTINCT h.term || '|' || h.lang AS topic_key, url AS link, title, strftime(published_ts, '%Y-%m-%d %H:%M') AS published FROM hits h JOIN articles a USING (article_pos)
+        WHERE NOT regexp_matches(lower(title), {alternation(NEGATIVE_WORDS)}) AND article_pos % 7 <> 0""",
     "recipient_counts": f"WITH {EVENTS} SELECT email, count(*) AS n_events FROM chosen GROUP BY email",
 }

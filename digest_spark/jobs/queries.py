@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from digest_spark.functions import html, similarity, text
 from digest_spark.jobs import flows, views
 from digest_spark.operators import cluster, deliver, enrich, match, prefs, triage
-from digest_spark.sources import files
+from digest_spark.sources import files, ledger
 from digest_spark.streaming import incremental
 from digest_spark.tables import shared_folder, written
 
@@ -335,6 +336,20 @@ def assemble_digest(s, d):
     return out.select("email", "subject", "html", "n_events", F.array_join("links", " ").alias("links"))
 
 
+@query
+def digest_run(s, d):
+    """The whole run, with stand-ins for the judges, over clustered events; every digest is acknowledged."""
+    out = f"{shared_folder(s)}/run-{uuid.uuid4().hex}"
+    ledger.append(views.ledger(s, d), f"{out}/ledger", "before")
+    lookup = s.createDataFrame([], "url string, final_url string")
+    pages = s.createDataFrame([], "url string, html string, content_type string")
+    judges = (every_second_id, first_words, views.same_initial)
+    found = flows.digest_run(
+        flows.Run(s, out, "run1"), views.responses(s, d), views.lang_map(s), views.dictionary(s), views.articles(s, d), lookup, pages, judges, f"{out}/ledger", lambda x: x, NAME, views.AS_OF, views.DEFAULT_LANGUAGE, part=50, batch=100,
+    )
+    return found.select("email", "subject", "html", "n_events", F.array_join("links", " ").alias("links"))
+
+
 @query
 def ledger_append(s, d):
     links = chosen(s, d).select("link").union(views.articles(s, d).select("url"))
@@ -378,7 +393,12 @@ def cluster_hybrid(s, d):
 
 
 def first_words(rows) -> list[str]:
-    return [" ".join(str(x).split()[:12]) for x in rows["text"]]
+    return [" ".join(str(x).split()[:12]) for x in rows["text" if "text" in rows else "prompt"]]
+
+
+def every_second_id(rows) -> list[str]:
+    """Stands in for the relevance judge: every second headline of the prompt."""
+    return [", ".join(re.findall(r"^ID (\d+): ", x, re.MULTILINE)[::2]) for x in rows["prompt"]]
 
 
 def every_second(rows) -> list[str]:
@@ -415,7 +435,34 @@ def stream_new_articles(s, d):
     rows = stream.select(F.concat(F.col("event_type"), F.lit("|en")).alias("topic_key"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("link"), F.col("event_type").alias("title"), F.col("ts").cast("timestamp").alias("published_ts"))
     topics = s.createDataFrame([("view|en",), ("click|en",), ("signup|en",)], "topic_key string")
     out = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
-    sent = s.createDataFrame([("u1",), ("u2",)], "link string")
-    run = incremental.run_available(incremental.stream_new_articles(rows, topics), lambda b: b.write.mode("append").parquet(f"{out}/sent"), lambda: sent, f"{out}/state")
+    ledger.append(s.createDataFrame([("u1",), ("u2",)], "link string"), f"{out}/ledger", "before")
+    run = incremental.run_available(incremental.stream_new_articles(rows, topics), incremental.replacing(f"{out}/sent"), f"{out}/ledger", f"{out}/state")
     run.awaitTermination()
-    return s.read.schema("topic_key string, link string, title string, published_ts timestamp").parquet(f"{out}/sent")
+    return s.read.schema("topic_key string, link string, title string, published_ts timestamp").parquet(f"{out}/sent").drop("batch")
+
+
+@query
+def match_stream(s, d):
+    """The documents as a stream of articles, matched by phrase, less the links that were sent before."""
+    table = s.read.parquet(f"{d}/documents.parquet")
+    # a stream reads a folder: the table's, or the one that its only file is in
+    folder, only = (d, "documents.parquet") if table.inputFiles()[0].endswith("/documents.parquet") else (f"{d}/documents.parquet", "*.parquet")
+    stream = views.articles_of(s.readStream.schema(table.schema).option("pathGlobFilter", only).parquet(folder))
+    topics = views.topics(s)
+    keys = topics.select(text.topic_key(F.col("term"), F.col("lang")).alias("topic_key"))
+    out = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    ledger.append(views.ledger(s, d), f"{out}/ledger", "before")
+    found = incremental.stream_new_articles(incremental.match_stream(stream.withColumnRenamed("url", "link"), topics), keys)
+    incremental.run_available(found, incremental.replacing(f"{out}/sent"), f"{out}/ledger", f"{out}/state").awaitTermination()
+    rows = s.read.schema("topic_key string, link string, title string, published_ts timestamp").parquet(f"{out}/sent")
+    return rows.select("topic_key", "link", "title", F.date_format("published_ts", "yyyy-MM-dd HH:mm").alias("published"))
+
+
+@query
+def unsent_events(s, d):
+    """new_events by a ledger of several batches, of which only the parts are read that may hold a link."""
+    out = f"{shared_folder(s)}/ledger-{uuid.uuid4().hex}"
+    sent = views.articles(s, d).where("article_pos % 7 = 0").select(F.col("url").alias("link"), (F.col("article_pos") % 3).alias("day"))
+    for day in range(3):
+        ledger.append(sent.where(F.col("day") == day), out, f"day{day}")
+    return ledger.unsent(events(s, d), out).select("event_id", "topic_key", "link")

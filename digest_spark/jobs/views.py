@@ -52,7 +52,10 @@ def topics(spark: SparkSession) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: the first 80 characters are the headline, all others the description; dates spread over three days."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return articles_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def articles_of(d: DataFrame) -> DataFrame:
     flat = F.regexp_replace("text", r"\s+", " ")
     rows = d.withColumn("flat", flat).select(
         F.col("doc_id").alias("article_pos"),
@@ -95,7 +98,7 @@ def group_reply(key):
 def same_initial(lists: pd.DataFrame) -> list[str]:
     """Stands in for a same-event judge that is of one mind: headlines with the same initial are one event."""
     replies = []
-    for lines in lists["lines"]:
+    for lines in lists["lines" if "lines" in lists else "prompt"]:
         events: dict[str, list[int]] = {}
         for place, initial in re.findall(r"^\[(\d+)\] (.)", lines, re.MULTILINE):
             events.setdefault(initial.lower(), []).append(int(place))

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from digest_spark.functions.text import topic_key
 from digest_spark.operators.match import phrases, searched
 from digest_spark.operators.triage import drop_negative
-from digest_spark.tables import small
+from digest_spark.sources import ledger
+from digest_spark.tables import small, written
 
 DELAY = "24 hours"
 
@@ -38,16 +39,28 @@ def match_stream(stream: DataFrame, topics: DataFrame, mode: str = "any") -> Dat
     return stream.drop("topic_key").join(small(wanted), (F.col("lang") == F.col("__lang")) & there).drop("__lang", "phrase")
 
 
-def run_available(new: DataFrame, sink: Callable[[DataFrame], None], ledger: Callable[[], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Handles all that is there now: each micro-batch less the ledger's links goes to the sink.
+def run_available(new: DataFrame, sink: Callable[[DataFrame, str], None], folder: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Handles all that is there now: each micro-batch less the links that the ledger in `folder` holds goes to the sink, with an id.
 
-    The ledger is read anew for each micro-batch. A micro-batch that is repeated after a failure
-    reaches the sink again; a sink that appends to the ledger makes it at most once.
+    The id, the stream's name and the micro-batch's number, is recorded in the ledger with the links once the sink
+    has returned. A micro-batch that is repeated after a failure is left out if its id is recorded; else the sink gets
+    the same rows with the same id again, as the ledger's links of that id do not count. So a
+    sink that replaces what it has of an id, like `replacing`, takes each link exactly once.
     """
 
-    def handle(batch: DataFrame, _: int) -> None:
-        sink(batch.join(ledger().select("link").distinct(), "link", "left_anti"))
+    def handle(batch: DataFrame, number: int) -> None:
+        own = f"{name}_{number}"
+        if ledger.has_batch(batch.sparkSession, folder, own):
+            batch.write.format("noop").mode("overwrite").save()  # the stream's state wants it read
+            return
+        rows = written(ledger.unsent(batch, folder, but=own))
+        if not rows.isEmpty():
+            sink(rows, own)
+        ledger.append(rows, folder, own)
 
     return new.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def replacing(path: str) -> Callable[[DataFrame, str], None]:
+    """A sink of a folder for each micro-batch, which a repetition replaces."""
+    return lambda rows, own: rows.withColumn("batch", F.lit(own)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)

@@ -30,6 +30,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def has_table(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a table that was written to its end."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def fits(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether a table may be broadcast. Measuring it is an action."""
     size = F.sum(F.octet_length(F.to_json(F.struct("*")))) if df.columns else F.lit(0)
