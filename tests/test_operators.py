@@ -221,6 +221,20 @@ def test_first_place_last_event(spark):
     assert got == {"l": ((0, 0, 3), 20), "m": ((0, 1, 0), 30)}
 
 
+def test_a_hot_topic_is_shared_out(spark):
+    config = lambda *t: [("en", " ".join(f'"{x}"' for x in t))]
+    people = [(f"u{i}", [], config("hot", f"t{i % 7}") if i % 3 else config(f"t{i % 7}")) for i in range(600)] + [("", [], config("hot"))]
+    profiles = spark.createDataFrame(people, "email string, keywords_for_display array<string>, search_configs array<struct<lang_code:string,query_string:string>>").repartition(6)
+    events = spark.createDataFrame([(k * 100 + i, f"{t}|en", f"l{i}", i) for k, t in enumerate(["hot", "t1", "t2", "nobody"]) for i in range(9)], "event_id long, topic_key string, link string, cluster_pos long")
+    plain = sorted(map(tuple, deliver.fan_out(profiles, events).collect()))
+    assert len(plain) == 9 * (400 + sum(i % 7 in (1, 2) for i in range(600)))
+    assert sorted(map(tuple, deliver.fan_out(profiles, events, broadcast_rows=0, share=50).collect())) == plain
+    terms = deliver.profile_terms(profiles.where("email != ''")).withColumn("topic_key", F.concat_ws("|", "term", "lang"))
+    parts = deliver.shared_out(terms, events, 50).groupBy("topic_key", "part").agg(F.count_distinct("email").alias("n")).collect()
+    hot = [r["n"] for r in parts if r["topic_key"] == "hot|en"]
+    assert len(hot) == 8 and max(hot) < 80 and sum(hot) == 400  # a third of all terms, but no task has them
+
+
 def test_two_recipients_get_one_new_link(spark):
     config = [("en", '"t"')]
     profiles = spark.createDataFrame([("a", ["c"], config), ("b", [], config), ("", [], config), ("d", [], [])], "email string, keywords_for_display array<string>, search_configs array<struct<lang_code:string,query_string:string>>")
