@@ -6,8 +6,8 @@ in a language's lexicon (its frequent words in the training texts); transitions
 labels of neighbouring words are learned too. Forward-backward gives each word's label
 probabilities, and a text's language is the one with the largest share of them.
 
-Words are labelled in windows of STEPS words, so all windows of a batch go through the recursion
-side by side. The training windows are cut from bounded samples of labelled texts; half of them
+Words are labelled in one chain along each text, which is cut into windows of STEPS words that go through the
+recursion side by side and hand on what they know to each other. The training windows are cut from bounded samples of labelled texts; half of them
 are spliced from texts of two languages, from which the model learns how seldom labels change.
 """
 
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,8 @@ from digest_spark.llm.shared import small_batches
 from digest_spark.llm.words import Words, mixed, words_in
 
 UNDETERMINED = "und"
-#: The model is fitted on so many texts of each language (expected; chosen by hash).
-SAMPLE_TEXTS = 300
+#: The model is fitted on so many texts of each language at most, on so many characters of each, of so many languages.
+SAMPLE_TEXTS, TEXT_CHARS, LANGUAGES = 300, 20_000, 200
 LEXICON_WORDS = 500
 FEATURE_BITS = 16
 STEPS = 64
@@ -96,7 +96,7 @@ class Model:
             place = np.arange(len(words.row)) - begins[words.row]
             step = place % STEPS
             window = np.cumsum((step == 0)) - 1
-            marginals, _ = forward_backward(self.emissions(words), window, step, self.transitions)
+            marginals = chained(self.emissions(words), window, step, words.row[step == 0], self.transitions)
             for k in range(len(self.labels)):
                 shares[:, k] = np.bincount(words.row, marginals[:, k], words.rows)
         total = shares.sum(1)
@@ -105,11 +105,54 @@ class Model:
         return [self.labels[b] if t > 0 else UNDETERMINED for b, t in zip(best, total, strict=True)], np.clip(score, 0, 1)
 
 
-def forward_backward(scores: np.ndarray, window: np.ndarray, step: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chained(scores: np.ndarray, window: np.ndarray, step: np.ndarray, text: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Label probabilities of every word, in one chain along each text.
+
+    A window maps what comes in from the left to what goes out on the right by a matrix, the product over its words. The
+    windows of a text are gone through by these matrices, from either end; within windows, all of them
+    side by side, the recursion starts from what came in. text: of each window.
+    """
+    k, windows = scores.shape[1], len(text)
+    sizes = np.bincount(window, minlength=windows)
+    first = np.cumsum(sizes) - sizes
+    local = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float64)
+    move = np.exp(transitions - transitions.max())
+    through = np.tile(np.eye(k), (windows, 1, 1))
+    for t in range(int(sizes.max(initial=0))):
+        alive = np.flatnonzero(sizes > t)
+        ahead = (through[alive] @ move) * local[first[alive] + t][:, None, :]
+        through[alive] = ahead / ahead.sum((1, 2), keepdims=True)
+    begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    lengths = np.diff(np.append(begins, windows))
+    # nothing is before a text's first window, so it is gone through word by word
+    enter, leave = np.zeros((windows, k)), np.ones((windows, k))
+    for t in range(int(lengths.max(initial=0)) - 1):
+        at = begins[lengths > t + 1] + t
+        out = np.einsum("wi,wij->wj", enter[at], through[at]) if t else within(at, local[first[at]], sizes, first, local, move)
+        enter[at + 1] = out / out.sum(1, keepdims=True)
+    for t in range(int(lengths.max(initial=0)) - 1):
+        at = (begins + lengths - 1)[lengths > t + 1] - t
+        out = np.einsum("wij,wj->wi", through[at], leave[at])
+        leave[at - 1] = out / out.sum(1, keepdims=True)
+    return forward_backward(scores, window, step, transitions, enter, leave)[0]
+
+
+def within(at: np.ndarray, a: np.ndarray, sizes: np.ndarray, first: np.ndarray, local: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """What goes out of the windows `at`, whose first words' probabilities are a."""
+    a = a.copy()
+    for t in range(1, int(sizes[at].max(initial=0))):
+        alive = np.flatnonzero(sizes[at] > t)
+        ahead = (a[alive] @ move) * local[first[at[alive]] + t]
+        a[alive] = ahead / ahead.sum(1, keepdims=True)
+    return a
+
+
+def forward_backward(scores: np.ndarray, window: np.ndarray, step: np.ndarray, transitions: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Label probabilities of every word, and the expected count of each transition.
 
     Windows follow each other and their steps count from 0, so the words at step t of all windows
-    that are long enough are one vector.
+    that are long enough are one vector. enter: for each window, how likely the labels before it are (zeros: it begins
+    a text); leave: how well each label of its last word goes with what follows.
     """
     n, k = scores.shape
     sizes = np.bincount(window)
@@ -120,11 +163,17 @@ def forward_backward(scores: np.ndarray, window: np.ndarray, step: np.ndarray, t
     move = np.exp(transitions - transitions.max())
     alpha, beta = np.empty((n, k)), np.ones((n, k))
     longest = int(sizes[0])
+    if leave is not None:
+        beta[first + sizes - 1] = leave[order]
     alive = [int(np.searchsorted(-sizes, -t, "left")) for t in range(longest + 1)]  # alive[t]: windows with more than t steps
     a = np.zeros((0, k))
     for t in range(longest):
         at = first[: alive[t]] + t if t < longest else None
-        a = local[at] if t == 0 else (a[: alive[t]] @ move) * local[at]
+        if t == 0:
+            before = np.zeros((len(at), k)) if enter is None else enter[order] @ move
+            a = np.where(before.any(1)[:, None], before, 1.0) * local[at]
+        else:
+            a = (a[: alive[t]] @ move) * local[at]
         a /= a.sum(1, keepdims=True)
         alpha[at] = a
     expected = np.zeros((k, k))
@@ -210,15 +259,23 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 
 
 def training_sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple[list[str], list[str]]:
-    """About SAMPLE_TEXTS texts of each language, chosen by a hash of id and text, outside the held-out fold."""
-    labelled = docs.where(docs[lang].isNotNull() & docs[text].isNotNull() & (F.coalesce(F.crc32(docs[doc_id].cast("string")), F.lit(0)) % 5 != 0)).select(docs[text].alias("text"), docs[lang].cast("string").alias("lang"), docs[doc_id].cast("string").alias("id"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, SAMPLE_TEXTS / n))]) if sizes else None
-    if share is None:
+    """SAMPLE_TEXTS texts at most of each of the LANGUAGES most frequent languages, chosen by a hash of id and text, outside the held-out fold.
+
+    Of a longer one a piece of TEXT_CHARS characters is learned from, its place chosen by hash, so what the driver gets is bounded.
+    """
+    labelled = docs.where(docs[lang].isNotNull() & docs[text].isNotNull() & (F.coalesce(F.crc32(docs[doc_id].cast("string")), F.lit(0)) % 5 != 0))
+    labelled = labelled.select(docs[text].alias("text"), docs[lang].cast("string").alias("lang"), F.xxhash64(docs[doc_id].cast("string"), docs[text], F.lit(3)).alias("h"))
+    top = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not top:
         return [], []
-    drawn = labelled.where(F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
-    rows = sorted((r["lang"], r["id"] or "", r["text"]) for r in drawn.select("text", "lang", "id").toLocalIterator())
-    return [r[2] for r in rows], [r[0] for r in rows]
+    share = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], min(1.0, 1.5 * SAMPLE_TEXTS / max(1, r["texts"])))])
+    drawn = labelled.where(F.pmod("h", F.lit(1_000_000)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * 1_000_000)
+    piece = F.substring("text", F.pmod("h", F.greatest(F.length("text") - TEXT_CHARS, F.lit(0)) + 1).cast("int") + 1, F.lit(TEXT_CHARS))
+    # equal rows have one hash and are drawn together, so they count once
+    drawn = drawn.groupBy("lang", "h").agg(F.min(piece).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = drawn.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).select("lang", "h", "text").collect()
+    return [r["text"] for r in sorted(rows)], [r["lang"] for r in sorted(rows)]
 
 
 def identify(docs: DataFrame, text: str = "text", *, keep: tuple[str, ...] = (), lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
