@@ -31,6 +31,8 @@ RUN_WORDS = 20
 WINDOW = 8
 BATCH_BYTES = 4 << 20
 #: Tables of so many numbers at most are broadcast.
+#: Ids that have several texts are broadcast up to so many.
+BROADCAST_IDS = 200_000
 BROADCAST_NUMBERS = 2_000_000
 BOUNDARY = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n\s*")
 SPACE = np.isin(np.arange(256), list(b"\x20\x09\x0a\x0b\x0c\x0d"))
@@ -109,26 +111,42 @@ def span_table(docs: DataFrame) -> DataFrame:
     return small_batches(docs).mapInArrow(run, "h long, g long, id long, key long, at int, stop int, again boolean")
 
 
+def ordered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows with __k, a key of the text, and __id, a long that orders documents and tells them apart.
+
+    That is the doc_id. Of rows that share it, those with another text than the one of least key come behind
+    all others, by a hash of both, and rows without a doc_id behind these.
+    """
+    key = text_key(docs[text])
+    own = docs[doc_id].cast("long")
+    shared = docs.select(own.alias("__shared"), key.alias("k")).where("__shared is not null").groupBy("__shared").agg(F.min("k").alias("__least"), F.max("k").alias("k")).where("__least < k").drop("k")
+    shared = F.broadcast(shared) if shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else shared
+    behind = F.lit(1 << 61) + F.shiftrightunsigned(F.xxhash64("__shared", "__k"), 3)
+    place = F.when(own.isNull(), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("__k"), 2)).when(F.col("__least") != F.col("__k"), behind).otherwise(own)
+    return docs.withColumn("__k", key).join(shared, own == shared["__shared"], "left").withColumn("__id", place).drop("__shared", "__least")
+
+
 def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows with their text less the sentences in repeated spans, and their number, n_removed.
 
-    doc_id is an integer. Rows that repeat a doc_id are one document here: what they share is no
-    repeat. Rows without one come last and are one document as well. Null texts stay null. A
-    column of docs named n_removed is replaced. An empty table gives no rows.
+    doc_id is an integer below 2 ** 61. Rows with one doc_id and text are one document: what they share is no
+    repeat. Rows with one doc_id and different texts, and rows without one, are documents of their own, which
+    come last (see ordered). Null texts stay null. A column of docs named n_removed is
+    replaced. An empty table gives no rows. A text of any length is cut in one piece.
     """
-    last = (1 << 63) - 1
-    own = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(last)).alias("id"), text_key(docs[text]).alias("key"), docs[text].alias("text"))
+    placed = ordered(docs, text, doc_id)
+    own = placed.select(F.col("__id").alias("id"), F.col("__k").alias("key"), F.col(text).alias("text"))
     found = written(span_table(own))
     # written by itself, so that the shuffles of the aggregate and of the join are not on disk at once
     repeated = written(found.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "g", "first"))
     elsewhere = found.where("not again").join(repeated, ["h", "g"]).where("id > first")
     places = elsewhere.select("id", "key", "at", "stop").union(found.where("again").select("id", "key", "at", "stop"))
-    gone = written(places.groupBy("id", "key").agg(F.collect_set(F.array("at", "stop")).alias("__at")).toDF("__id", "__key", "__at"))
+    gone = written(places.groupBy("id", "key").agg(F.collect_set(F.array("at", "stop")).alias("__at")).toDF("__gone", "__key", "__at"))
     dropped(found)
     size = gone.agg(F.sum(2 * F.size("__at") + 2).alias("n")).first()["n"] or 0
     gone = F.broadcast(gone) if size <= BROADCAST_NUMBERS else gone
     kept = [c for c in docs.columns if c not in ("n_removed", text)]
-    joined = docs.withColumn("__k", text_key(docs[text])).join(gone, (F.coalesce(docs[doc_id].cast("long"), F.lit(last)) == gone["__id"]) & (F.col("__k") == gone["__key"]), "left")
+    joined = placed.join(gone, (F.col("__id") == F.col("__gone")) & (F.col("__k") == F.col("__key")), "left")
     rows = joined.select(*kept, F.col(text).alias("__text"), F.coalesce("__at", F.array().cast("array<array<int>>")).alias("__at"))
     schema = T.StructType([*rows.select(*kept).schema, T.StructField("__text", T.StringType()), T.StructField("n_removed", T.LongType())])
 
