@@ -28,12 +28,18 @@ QUERIES_AT_ONCE = 128
 
 
 def weights(column: pa.Array, scale: int) -> np.ndarray:
-    """floor(scale * x) of every component; shorter vectors end in zeros."""
+    """floor(scale * x) of every component, as Python's integers if any leaves 62 bits; shorter vectors end in zeros."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    flat = np.floor(scale * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
-    out = np.zeros((len(sizes), int(sizes.max(initial=0))), np.int64)
+    flat = np.floor(scale * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    if (np.abs(flat) < 1 << 62).all():
+        flat = flat.astype(np.int64)
+    else:
+        if not np.isfinite(flat).all():
+            raise OverflowError(f"{scale} times a component is no finite number")
+        flat = np.array([int(x) for x in flat], object)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))), flat.dtype)
     out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = flat
     return out
 
@@ -48,10 +54,10 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def accumulate(queries: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-    """Scores of all queries against a chunk, one term after the other."""
+    """Scores of all queries against a chunk, one term after the other; as Python's integers if longs may not hold them."""
     terms = min(queries.shape[1], chunk.shape[1])
     bound = int(np.abs(queries).max(initial=0)) * int(np.abs(chunk).max(initial=0)) * max(terms, 1)
-    kind = np.int32 if bound < 1 << 31 else np.int64
+    kind = np.int32 if bound < 1 << 31 else np.int64 if bound < 1 << 63 else object
     scores = np.zeros((len(queries), len(chunk)), kind)
     part = np.empty_like(scores)
     queries, columns = queries.astype(kind), np.ascontiguousarray(chunk.T.astype(kind))
@@ -65,13 +71,22 @@ def accumulate(queries: np.ndarray, chunk: np.ndarray) -> np.ndarray:
     return scores
 
 
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype != object:
+        return scores
+    if any(not -(1 << 63) <= x < 1 << 63 for x in scores):
+        raise OverflowError("a score is out of the range of 64 bits")
+    return scores.astype(np.int64)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, *, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k highest inner products with rows of another id.
 
     Rows whose id or vector is null, or whose vector holds null or non-finite components, take no
     part. A row that is repeated is a candidate each time. A query id that is repeated asks once,
     with the smallest of its vectors. An empty vector scores 0. Fewer candidates than k give fewer
-    rows; no query, or an empty table, gives none. Other columns are not read.
+    rows; no query, or an empty table, gives none. Weights of any size are multiplied exactly; a score that a long
+    cannot hold fails the run. Other columns are not read.
     """
     finite = F.forall(vectors[vector], lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     own = vectors.where(vectors[vec_id].isNotNull() & vectors[vector].isNotNull() & finite).select(vectors[vec_id].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -106,8 +121,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, *, vec_id: str = "ve
                     for q, row in enumerate(scores, a):
                         if (mine := chunk_ids == ids[q]).any():
                             kept = np.flatnonzero(~mine)
+                            row[mine] = 0
+                            row = as_longs(row)
                             own_best = kept[best(row[kept], chunk_ids[kept], k)]
                         else:
+                            row = as_longs(row)
                             own_best = best(row, chunk_ids, k)
                         both, both_scores = np.concatenate([found[q], chunk_ids[own_best]]), np.concatenate([found_scores[q], row[own_best].astype(np.int64)])
                         top = best(both_scores, both, k)
