@@ -18,6 +18,10 @@ EXCLUDED_TITLE_WORDS = ("concurso", "vaga de emprego", "edital")
 #: What stands in for missing values in a digest.
 NO_DATE, NO_SOURCE, NO_TITLE, OTHER_SOURCE, OTHER_LINK = "Data não disponível", "Fonte desconhecida", "Sem título", "Fonte", "#"
 
+#: What a digest says around its items.
+AUTOMATIC, LATEST, PREFERENCES, FILTERED = "AUTOMÁTICO", "últimas", "Suas preferências", "Termos filtrados"
+PUBLISHED, ALSO_SEEN = "Publicado em", "Também visto em"
+
 
 def topic_key(term: Column, lang: Column) -> Column:
     return F.concat_ws("|", term, lang)
@@ -124,19 +128,19 @@ def render_item(title: Column, link: Column, summary: Column, published: Column,
     safe = escaped if escape else (lambda x: x)
     source = F.coalesce(publisher, F.lit(NO_SOURCE))
     head = F.concat(F.lit('<h2><a href="'), link, F.lit('">'), safe(clean_title(title, publisher)), F.lit("</a></h2><p>"), safe(F.coalesce(summary, F.lit(""))), F.lit("</p>"))
-    foot = F.concat(F.lit("<p>Publicado em: "), format_published(published), F.lit(" por <b>"), safe(source), F.lit("</b></p>"))
-    more = F.when(F.size(others) > 0, F.concat(F.lit("<p>Também visto em: "), also_seen(others), F.lit("</p>"))).otherwise("")
+    foot = F.concat(F.lit(f"<p>{PUBLISHED}: "), format_published(published), F.lit(" por <b>"), safe(source), F.lit("</b></p>"))
+    more = F.when(F.size(others) > 0, F.concat(F.lit(f"<p>{ALSO_SEEN}: "), also_seen(others), F.lit("</p>"))).otherwise("")
     return F.concat(F.lit("<section>"), head, foot, more, F.lit("</section>"))
 
 
 def render_subject(name: str, as_of: Column) -> Column:
-    return F.concat(F.lit(f"AUTOMÁTICO | {name} ("), F.date_format(as_of, "dd/MM/yyyy"), F.lit(")"))
+    return F.concat(F.lit(f"{AUTOMATIC} | {name} ("), F.date_format(as_of, "dd/MM/yyyy"), F.lit(")"))
 
 
 def render_body(name: str, period: str, preferences: Column, items: Column) -> Column:
     told = ", ".join(EXCLUDED_TITLE_WORDS)
-    head = F.concat(F.lit(f"<html><body><h1>{name}: últimas {period}</h1><p>Suas preferências: "), F.array_join(preferences, ", "), F.lit("</p>"))
-    return F.concat(head, F.array_join(items, ""), F.lit(f"<p>Termos filtrados: {told}.</p></body></html>"))
+    head = F.concat(F.lit(f"<html><body><h1>{name}: {LATEST} {period}</h1><p>{PREFERENCES}: "), F.array_join(preferences, ", "), F.lit("</p>"))
+    return F.concat(head, F.array_join(items, ""), F.lit(f"<p>{FILTERED}: {told}.</p></body></html>"))
 
 
 def with_prompt(template: str, *values: Column) -> Column:

@@ -225,6 +225,8 @@ ORACLES = {
     "resolve_urls": f"WITH {PAGES} SELECT page_id, url AS link FROM pp WHERE page_id % 4 <> 0 OR page_id % 8 = 0",
     "gate_text": f"WITH {PAGES} SELECT page_id, CASE WHEN length(html) > 300 THEN substring(html, 1, 2500) END AS text FROM pp",
     "fan_out": f"WITH {EVENTS} SELECT email, link, event_id, lang_pos, term_pos, cluster_pos FROM profile_terms p JOIN events e ON e.topic_key = p.term || '|' || p.lang",
+    "fan_out_shares": f"WITH {EVENTS} SELECT email, link, event_id, lang_pos, term_pos, cluster_pos FROM profile_terms p JOIN events e ON e.topic_key = p.term || '|' || p.lang",
+    "topic_map": f"WITH {ARTICLES} SELECT topic_key, CAST(pos AS INTEGER) AS pos, title, url FROM listed",
     "new_events": f"WITH {EVENTS} SELECT event_id, topic_key, link FROM fresh",
     "dedupe_events": f"WITH {EVENTS} SELECT email, link, ord.l AS lang_pos, ord.t AS term_pos, ord.c AS cluster_pos, event_id FROM chosen",
     "also_seen": f"""WITH {GROUPS}, m AS (SELECT c.*, CASE WHEN article_pos % 9 <> 0 THEN url END AS link, CASE WHEN article_pos % 8 <> 0 THEN publisher END AS publisher FROM clusters c JOIN listed l ON l.topic_key = c.topic_key AND l.pos = c.pos)

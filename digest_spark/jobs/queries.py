@@ -9,10 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from digest_spark import schemas
 from digest_spark.functions import html, similarity, text
 from digest_spark.jobs import flows, views
 from digest_spark.operators import cluster, deliver, enrich, match, prefs, triage
-from digest_spark.sources import files, ledger
+from digest_spark.sources import files, json_map, ledger
 from digest_spark.streaming import incremental
 from digest_spark.tables import shared_folder, written
 
@@ -309,6 +310,22 @@ def fan_out(s, d):
     return deliver.fan_out(profiles(s, d), events(s, d))
 
 
+@query
+def fan_out_shares(s, d):
+    """fan_out by shuffles, with topics in shares."""
+    return deliver.fan_out(profiles(s, d), events(s, d), broadcast_rows=0, share=100)
+
+
+@query
+def topic_map(s, d):
+    """The articles' titles and urls written as one JSON object of lists, and read from it in splits."""
+    rows = listed(s, d).select("topic_key", "pos", F.struct("title", "url").alias("item"))
+    out = f"{shared_folder(s)}/map-{uuid.uuid4().hex}"
+    json_map.write_map(rows, out)
+    found = json_map.read_map(s, out, schemas.RAW_ARTICLE, strict=True)
+    return found.select("topic_key", "pos", "item.title", "item.url")
+
+
 @query
 def new_events(s, d):
     return deliver.new_events(events(s, d), views.ledger(s, d)).select("event_id", "topic_key", "link")

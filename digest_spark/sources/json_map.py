@@ -71,3 +71,16 @@ def read_map(spark: SparkSession, path: str, item: T.StructType, *, strict: bool
     first = parsed.groupBy("lists").agg(F.min("element").alias("first"))
     found = chosen.join(first, "lists", "left").join(parsed, "lists", "left")
     return found.select("topic_key", (F.col("element") - F.col("first")).cast("int").alias("pos"), "item")
+
+
+def write_map(rows: DataFrame, path: str) -> None:
+    """Writes (topic_key, pos, item), pos counting from 0 in each key, as one JSON object of lists, an item a line, to a folder with one file.
+
+    The lines are sorted by all tasks; one writes them, as they come, for the format is one file. Columns of items that are null are left out.
+    """
+    first = rows.agg(F.min("topic_key")).first()[0]
+    key = F.substring(F.to_json(F.array("topic_key")), F.lit(2), F.length(F.to_json(F.array("topic_key"))) - 2)
+    opening = F.concat(F.when(F.col("topic_key") == F.lit(first), "{").otherwise("], "), key, F.lit(": ["))
+    lines = rows.select(F.lit(0).alias("end"), "topic_key", "pos", F.concat(F.when(F.col("pos") == 0, opening).otherwise(", "), F.to_json("item")).alias("value"))
+    end = rows.sparkSession.range(1).select(F.lit(1), F.lit(""), F.lit(0).cast(rows.schema["pos"].dataType), F.lit("{}" if first is None else "]}"))
+    lines.union(end).orderBy("end", "topic_key", "pos").select("value").coalesce(1).write.mode("overwrite").text(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from digest_spark import schemas
 from digest_spark.sources import files
-from digest_spark.sources.json_map import pieces, read_map
+from digest_spark.sources.json_map import pieces, read_map, write_map
 
 
 @pytest.fixture
@@ -65,3 +65,15 @@ def test_equal_keys_and_empty_objects(spark, tmp_path):
     assert sorted((r["topic_key"], r["pos"], r["item"] and r["item"]["title"]) for r in read_map(spark, str(path), schemas.RAW_ARTICLE).collect()) == [("a", 0, "3"), ("b", None, None)]
     path.write_text(" {} ")
     assert read_map(spark, str(path), schemas.RAW_ARTICLE, strict=True).count() == 0
+
+
+def test_written_maps_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([('a "q" \\', i, (f"t{i}", "é\n")) for i in range(30)] + [("b", 0, (None, "u"))], "topic_key string, pos long, item struct<title:string,url:string>").repartition(5)
+    write_map(rows, str(tmp_path / "map"))
+    (file,) = (tmp_path / "map").glob("part-*")
+    data = json.loads(file.read_text(encoding="utf-8"))
+    assert [x["title"] for x in data['a "q" \\']] == [f"t{i}" for i in range(30)] and data["b"] == [{"url": "u"}]
+    got = read_map(spark, str(tmp_path / "map"), rows.schema["item"].dataType, strict=True)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    write_map(rows.limit(0), str(tmp_path / "none"))
+    assert read_map(spark, str(tmp_path / "none"), rows.schema["item"].dataType, strict=True).count() == 0

@@ -5,6 +5,7 @@ from digest_spark.jobs import flows
 from digest_spark.operators import prefs
 from digest_spark.sources import files
 
+#: The columns of a form export.
 HEADER = '"CreatedTime","CreatedUser","CategoriasNoticias","EscolherLinguas"\n'
 
 
