@@ -233,17 +233,18 @@ def fit(features: np.ndarray, rows: list[tuple], pairs: list[tuple[int, int]], s
     return Model(features, w[:n], w[n:], base)
 
 
-def trained(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, *, swap: float = SWAP) -> tuple[Model, Terms]:
+def trained(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, *, swap: float = SWAP, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> tuple[Model, Terms]:
     """The model, fitted on about SAMPLE_DOCS labelled rows at any size of the input, and the terms that were swapped."""
     spark = docs.sparkSession
     known = labels.where(labels[label].isNotNull() & labels[doc_id].isNotNull()).groupBy(labels[doc_id].alias("__id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("__id").cast("string")) % 5 != 0)
     at_most = lambda n: 1_000_000 * min(1.0, SAMPLE_DOCS / max(1, n))
     drawn = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < at_most(known.count()))
-    found = docs.join(F.broadcast(drawn), docs[doc_id] == drawn["__id"]).select(docs[text].alias("text"), "toxic", F.xxhash64(F.col("__id").cast("string"), docs[text]).alias("id"))
+    own = docs.select(docs[doc_id].alias("__id"), docs[text].alias("text"))
+    found = own.join(F.broadcast(drawn), "__id").select("text", "toxic", F.xxhash64(F.col("__id").cast("string"), "text").alias("id"))
     # a doc_id may have many rows, so these are drawn again
     sample = written(found.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < at_most(found.count())))
-    terms = Terms(IDENTITIES, *mined_terms(sample))
+    terms = Terms(identities, *mined_terms(sample))
     of_terms = features_of(pa.array(terms.every(), pa.string()))[1]
     features = np.union1d(telling_features(sample, FEATURES), of_terms)
     blank = Model(features, np.zeros(len(features)), np.zeros(len(features)), 0.0)
@@ -267,15 +268,17 @@ def trained(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: s
     return model, terms
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", *, keep: tuple[str, ...] = (), doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", *, keep: tuple[str, ...] = (), doc_id: str = "doc_id", label: str = "toxic", identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> DataFrame:
     """Each row's columns `keep`, with score (0 to 1) and predicted (1 if score >= 0.5).
 
+    identities: kinds of group names in lower case, of which each is swapped for others of its kind.
+
     Labels are joined by doc_id outside the held-out fold, crc32(doc_id as text) mod 5 = 0; null
     labels and ids teach nothing, and of repeated labels the largest counts. Null and empty texts
     get the score of a text without features. Without any label every score is 0.5. Repeated rows
     get the same result; other columns are not read. A text of any length is scored in one piece.
     """
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, text, doc_id, label)[0])
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, text, doc_id, label, identities=identities)[0])
     kept = [c for c in keep if c not in ("score", "predicted")]
     own = docs.select(*[docs[c] for c in kept], docs[text].alias("__text"))
     schema = T.StructType([*[own.schema[c] for c in kept], T.StructField("score", T.DoubleType())])
