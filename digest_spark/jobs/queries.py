@@ -442,7 +442,7 @@ def judge_groups(s, d):
 
 @query
 def cluster_judged(s, d):
-    return cluster.cluster_judged(listed(s, d).withColumnRenamed("description", "summary"), views.same_initial, part=8, tasks=8, batch=20)
+    return cluster.cluster_judged(listed(s, d).withColumnRenamed("description", "summary"), views.same_initial, part=16, tasks=8, batch=50)
 
 
 @query

@@ -82,3 +82,22 @@ def test_ledger(spark, tmp_path):
     files.append_ledger(links, str(path))
     assert {r[0] for r in files.read_ledger(spark, str(path)).collect()} == {"x", "y", "z"}
     assert files.read_ledger(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_topic_tables_are_split_by_language(spark, tmp_path):
+    rows = spark.createDataFrame([("a|en", 0, "en"), ("a|de", 0, "de"), ("b|en", 1, "en")], "topic_key string, pos long, lang string")
+    files.write_topic_table(rows, str(tmp_path / "t"))
+    files.write_topic_table(rows, str(tmp_path / "t"))
+    assert sorted(p.name for p in (tmp_path / "t").glob("lang=*")) == ["lang=de", "lang=en"]
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted((r["topic_key"], r["pos"], r["lang"]) for r in back.collect()) == sorted(map(tuple, rows.collect()))
+
+
+def test_strict_topic_maps_fail(spark, tmp_path):
+    import pytest
+
+    path = tmp_path / "events.json"
+    path.write_text('{"a|en": [{"principal": {"titulo": "t"}, "outros_sites": []}')
+    assert files.read_topic_map(spark, str(path), schemas.EVENT).count() == 0
+    with pytest.raises(Exception):  # noqa: B017
+        files.read_topic_map(spark, str(path), schemas.EVENT, strict=True).collect()
