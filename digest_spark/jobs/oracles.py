@@ -242,6 +242,7 @@ ORACLES = {
             SELECT topic_key, 1 AS a, 0 AS b, 0 AS c, 0 AS d FROM listed UNION ALL SELECT topic_key, 0, 1, 0, 0 FROM batched
             UNION ALL SELECT topic_key, 0, 0, 1, 0 FROM approved UNION ALL SELECT topic_key, 0, 0, 0, 1 FROM clusters WHERE member_pos = 0)
         SELECT topic_key, CAST(sum(a) AS BIGINT) AS raw, CAST(sum(b) AS BIGINT) AS kept, CAST(sum(c) AS BIGINT) AS approved, CAST(sum(d) AS BIGINT) AS clusters FROM t GROUP BY ROLLUP (topic_key)""",
+    "stream_new_articles": "SELECT DISTINCT event_type || '|en' AS topic_key, 'u' || user_id AS link, event_type AS title FROM events WHERE event_type IN ('view', 'click', 'signup') AND user_id NOT IN (1, 2)",
     "unsent_events": f"WITH {EVENTS} SELECT event_id, topic_key, link FROM fresh",
     "match_stream": f"""WITH {ANY} SELECT DISTINCT h.term || '|' || h.lang AS topic_key, url AS link, title, strftime(published_ts, '%Y-%m-%d %H:%M') AS published FROM hits h JOIN articles a USING (article_pos)
         WHERE NOT regexp_matches(lower(title), {alternation(NEGATIVE_WORDS)}) AND article_pos % 7 <> 0""",
