@@ -30,10 +30,8 @@ RUN_SENTENCES = 3
 RUN_WORDS = 20
 WINDOW = 8
 BATCH_BYTES = 4 << 20
-#: Tables of so many numbers at most are broadcast.
-#: Ids that have several texts are broadcast up to so many.
-BROADCAST_IDS = 200_000
-BROADCAST_NUMBERS = 2_000_000
+#: Tables of so many numbers at most are broadcast, and ids that have several texts.
+BROADCAST_NUMBERS, BROADCAST_IDS = 2_000_000, 200_000
 BOUNDARY = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n\s*")
 SPACE = np.isin(np.arange(256), list(b"\x20\x09\x0a\x0b\x0c\x0d"))
 
@@ -69,26 +67,23 @@ def sentences(text: bytes) -> list[tuple[int, int, bytes, int]]:
     return [(a, b, b" ".join(words[i:j]), j - i) for a, b, i, j in zip(cuts, cuts[1:], at, at[1:], strict=False)]
 
 
-def spans(parts: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, int]]:
+def spans(parts: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentence after the last, 128-bit hash) of every span; wordless sentences count as none."""
     full = [k for k, x in enumerate(parts) if x[3]]
+    texts, sizes = [parts[k][2] for k in full], [parts[k][3] for k in full]
     out, stop, words = [], 0, 0
     for i in range(len(full)):
         stop = max(stop, i)
         while stop < len(full) and (stop - i < RUN_SENTENCES or words < RUN_WORDS):
-            words += parts[full[stop]][3]
+            words += sizes[stop]
             stop += 1
         if stop - i < RUN_SENTENCES or words < RUN_WORDS:
             break
-        out.append((full[i], full[stop - 1] + 1, xxhash.xxh3_128_intdigest(b" ".join([parts[k][2] for k in full[i:stop]]))))
-        words -= parts[full[i]][3]
+        out.append((full[i], full[stop - 1] + 1, xxhash.xxh3_128_digest(b" ".join(texts[i:stop]))))
+        words -= sizes[i]
     return out
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def span_table(docs: DataFrame) -> DataFrame:
     """(h, g, id, key, at, stop, again): every span by hash, its sentences, and whether its row has it before."""
 
@@ -96,7 +91,7 @@ def span_table(docs: DataFrame) -> DataFrame:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             hashes, at, stop, again, rows = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                seen: set[int] = set()
+                seen: set[bytes] = set()
                 for a, b, h in spans(sentences((text or "").encode())):
                     hashes.append(h)
                     at.append(a)
@@ -105,8 +100,8 @@ def span_table(docs: DataFrame) -> DataFrame:
                     rows.append(row)
                     seen.add(h)
             take = pa.array(rows, pa.int32())
-            high, low = [signed(h >> 64) for h in hashes], [signed(h & 0xFFFFFFFFFFFFFFFF) for h in hashes]
-            yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), batch.column("id").take(take), batch.column("key").take(take), pa.array(at, pa.int32()), pa.array(stop, pa.int32()), pa.array(again, pa.bool_())], names=["h", "g", "id", "key", "at", "stop", "again"])
+            halves = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column("id").take(take), batch.column("key").take(take), pa.array(at, pa.int32()), pa.array(stop, pa.int32()), pa.array(again, pa.bool_())], names=["h", "g", "id", "key", "at", "stop", "again"])
 
     return small_batches(docs).mapInArrow(run, "h long, g long, id long, key long, at int, stop int, again boolean")
 
