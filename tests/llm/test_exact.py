@@ -81,11 +81,24 @@ def test_shards(spark):
 def test_shard_query(spark):
     got = sharding.op1_sharding(spark, "/root/testdata/sf0.001").toPandas()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    assert {(r.doc_id, r.size, r.text_crc32) for r in got[["doc_id", "size", "text_crc32"]].itertuples()} >= set()
+    assert sorted(got["doc_id"]) == sorted(texts)
     for r in got.to_dict("records"):
         assert r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode())
 
 
+def test_sizes_of_null_texts_and_written_shards(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "é", "en", "s", 0)] * 9, SCHEMA)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op1_sharding(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == {(1, 1, 0), (2, 1, 0), (3, 3, zlib.crc32("é".encode()))} and len(got) == 27
+    sharding.write_shards(sharding.shard(df), str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == [f"shard={k}" for k in range(8)]
+    assert sorted(repr((r["doc_id"], r["text"])) for r in back.collect()) == sorted(repr((r["doc_id"], r["text"])) for r in df.collect())
+    for _, slots in back.toPandas().groupby("shard")["slot"]:
+        assert sorted(slots) == list(range(len(slots)))
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
