@@ -18,6 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,12 +203,9 @@ def fit(features: np.ndarray, rows: list[tuple], pairs: list[tuple[int, int]], s
     rows: (toxic or None for a swapped text, features, counts, rates); pairs: numbers of rows.
     """
     n, m = len(features), len(rows)
-    sizes = [len(x[1]) for x in rows]
-    row = np.repeat(np.arange(m), sizes)
-    col = np.concatenate([np.asarray(x[1], np.int64) for x in rows]) if m else np.zeros(0, np.int64)
-    cols = np.concatenate([col, col + n])
-    x = np.concatenate([np.asarray(v, np.float64) for k in (2, 3) for v in [np.concatenate([np.asarray(r[k], np.float64) for r in rows]) if m else []]])
-    at = np.concatenate([row, row])
+    row = np.repeat(np.arange(m, dtype=np.int32), [len(x[1]) for x in rows])
+    joined = lambda k, kind: np.concatenate([np.asarray(r[k], kind) for r in rows]) if m else np.zeros(0, kind)
+    col, count, rate = joined(1, np.int32), joined(2, np.float32), joined(3, np.float32)
     known = np.array([i for i, r in enumerate(rows) if r[0] is not None], np.int64)
     y = np.array([rows[i][0] for i in known], np.float64)
     if not len(known):
@@ -216,7 +214,7 @@ def fit(features: np.ndarray, rows: list[tuple], pairs: list[tuple[int, int]], s
     w, base = np.zeros(2 * n), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     first, second = np.zeros(2 * n + 1), np.zeros(2 * n + 1)
     for step in range(1, steps + 1):
-        z = base + np.bincount(at, w[cols] * x, m)
+        z = base + np.bincount(row, w[:n][col] * count + w[n:][col] * rate, m)
         push = np.zeros(m)
         push[known] = (1 / (1 + np.exp(-np.clip(z[known], -30, 30))) - y) / len(known)
         shift = push.sum()
@@ -224,7 +222,8 @@ def fit(features: np.ndarray, rows: list[tuple], pairs: list[tuple[int, int]], s
             gap = 2 * swap * (z[a] - z[b]) / len(a)
             np.add.at(push, a, gap)
             np.add.at(push, b, -gap)
-        slope = np.concatenate([np.bincount(cols, push[at] * x, 2 * n) + 2 * RIDGE * w, [shift]])
+        pushed = push[row]
+        slope = np.concatenate([np.concatenate([np.bincount(col, pushed * count, n), np.bincount(col, pushed * rate, n)]) + 2 * RIDGE * w, [shift]])
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
@@ -248,14 +247,17 @@ def trained(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: s
     of_terms = features_of(pa.array(terms.every(), pa.string()))[1]
     features = np.union1d(telling_features(sample, FEATURES), of_terms)
     blank = Model(features, np.zeros(len(features)), np.zeros(len(features)), 0.0)
-    values = sorted((r["id"], r["part"], r["f"], r["c"], r["r"], r["toxic"]) for r in sparse_values(sample, spark.sparkContext.broadcast(blank), terms).collect())
-    rows = [(r[5] if r[1] == 0 else None, r[2], r[3], r[4]) for r in values]
-    before = {}
-    for i, r in enumerate(values):
-        if r[1] == 1:
-            before[r[0]] = i
-    pairs = [(before[r[0]], i) for i, r in enumerate(values) if r[1] == 2]
-    changed = sum(rows[a][1:] != rows[b][1:] for a, b in pairs)
+    values = sparse_values(sample, spark.sparkContext.broadcast(blank), terms).toArrow().combine_chunks()  # arrays, not Python's numbers
+    values = values.sort_by([("id", "ascending"), ("part", "ascending")])
+    ids, parts, toxic = (values.column(c).to_pylist() for c in ("id", "part", "toxic"))
+    lists = []
+    for name in ("f", "c", "r"):
+        sizes, flat = pc.list_value_length(values.column(name)).to_numpy(), pc.list_flatten(values.column(name)).to_numpy()
+        lists.append(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+    rows = [(y if part == 0 else None, *x) for y, part, *x in zip(toxic, parts, *lists, strict=True)]
+    before = {i: k for k, (i, part) in enumerate(zip(ids, parts, strict=True)) if part == 1}
+    pairs = [(before[i], k) for k, (i, part) in enumerate(zip(ids, parts, strict=True)) if part == 2]
+    changed = sum(not all(map(np.array_equal, rows[a][1:], rows[b][1:])) for a, b in pairs)
     frames = [NEUTRAL_FRAME.format(name) for kind in terms.kinds for name in kind]
     row, feature, count, rate = blank.values(pa.array(frames, pa.string()))
     at = len(rows)
